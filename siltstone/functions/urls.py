@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 _SPLIT = "(?s)" + _SPLIT
+_NORMAL = r"^https?://[a-z0-9.\-]+(?:[/?][^#\s]*)?$"
 
 
 def part(url: Column, number: int) -> Column:
@@ -52,9 +53,15 @@ def normalised_address(url: Column) -> Column:
 
     White space around the address is dropped. NULL gives NULL parts; what has no scheme or host stays as it is, with an empty host.
     """
-    text = F.trim(F.regexp_replace(url, r"^\s+|\s+$", ""))
+    text = F.regexp_replace(url, r"^\s+|\s+$", "")
     own_scheme, own_host, own_port = scheme(text), host(text), port(text)
     user = F.regexp_extract(part(text, 2), r"^(.*@)", 1)
     shown_port = F.when(_default_port(own_scheme, own_port), F.lit("")).otherwise(F.concat(F.lit(":"), own_port))
     whole = F.concat(own_scheme, F.lit("://"), user, own_host, shown_port, part(text, 3), part(text, 4))
-    return F.struct(F.when((own_scheme == "") | (own_host == ""), text).otherwise(whole).alias("url"), own_host.alias("host"))
+    # Most addresses are in normal form already; one match tells.
+    done = url.rlike(_NORMAL)
+    plain_host = F.substring_index(F.substring_index(F.substring_index(url, "/", 3), "/", -1), "?", 1)
+    return F.struct(
+        F.when(done, url).when((own_scheme == "") | (own_host == ""), text).otherwise(whole).alias("url"),
+        F.when(done, plain_host).otherwise(own_host).alias("host"),
+    )
