@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import main_body, near_duplicates, repeated_lines, residue
+from siltstone.llm import leakage, main_body, near_duplicates, repeated_lines, residue
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,8 +32,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_pages(results, residue.fit_models_on(results))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
