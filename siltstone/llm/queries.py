@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import leakage, main_body, near_duplicates, repeated_lines, residue
+from siltstone.llm import encodings, leakage, main_body, near_duplicates, packing, repeated_lines, residue
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,12 +32,27 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_pages(results, residue.fit_models_on(results))
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = packing.token_sizes(_table(spark, folder, "documents"))
+    return packing.pack(sizes, _table(spark, folder, "pack_sizes"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return encodings.garbled(documents, encodings.fit_models_on(documents))
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return encodings.restore(documents, encodings.fit_models_on(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_containers, p7_found, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
