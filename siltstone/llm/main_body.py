@@ -23,11 +23,11 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from siltstone.llm.html_blocks import HEADINGS, LINK_ON, Block, blocks, is_linked, plain
 from siltstone.llm.placeholders import is_placeholder
 from siltstone.llm.residue_seeds import ERROR_TEXTS, FILLER_TEXTS, SCRIPT_TEXTS
+from siltstone.llm.sampling import smallest_hashes
 
 #: Pages whose lines are labelled for fitting: those with the smallest hash of their id.
 SAMPLE_PAGES = 2000
@@ -184,14 +184,7 @@ class Extractor:
 
 def fit_on(results: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     """Fits the weights on at most ``sample_pages`` pages of ``results(result_id, url, html)``."""
-    sample = (
-        results.where("html <> ''")
-        .select(F.xxhash64("result_id").alias("_order"), "result_id", "url", "html")
-        .orderBy("_order", "result_id")
-        .limit(sample_pages)
-        .select("url", "html")
-    )
-    rows = sample.toArrow()
+    rows = smallest_hashes(results.where("html <> ''"), "result_id", sample_pages, "url", "html").toArrow()
     return fit(zip(rows.column("url").to_pylist(), map(blocks, rows.column("html").to_pylist()), strict=True))
 
 
