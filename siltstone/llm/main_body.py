@@ -184,7 +184,7 @@ class Extractor:
 
 def fit_on(results: DataFrame, sample_pages: int = SAMPLE_PAGES) -> dict[str, float]:
     """Fits the weights on at most ``sample_pages`` pages of ``results(result_id, url, html)``."""
-    rows = smallest_hashes(results.where("html <> ''"), "result_id", sample_pages, "url", "html").toArrow()
+    rows = smallest_hashes(results, "html <> ''", "result_id", sample_pages, "url", "html").toArrow()
     return fit(zip(rows.column("url").to_pylist(), map(blocks, rows.column("html").to_pylist()), strict=True))
 
 

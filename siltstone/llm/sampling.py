@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 SPARE = 1.3
 
 
-def smallest_hashes(rows: DataFrame, key: str, wanted: int, *columns: str) -> DataFrame:
-    """At most ``wanted`` of the rows: those with the smallest hash of ``key``, the same at each run.
+def smallest_hashes(rows: DataFrame, having: str, key: str, wanted: int, *columns: str) -> DataFrame:
+    """At most ``wanted`` of the rows with ``having``: those with the smallest hash of ``key``, the same at each run.
 
-    The share to look at follows from the number of rows, so the task that
+    The share to look at follows from the number of all rows (known without reading them), so the task that
     makes the choice gets about ``SPARE * wanted`` rows, however large the table.
     """
     count = rows.count()
     mark = F.xxhash64(key)
     if count > SPARE * wanted:
         rows = rows.where(F.pmod(mark, F.lit(1 << 40)) < int((1 << 40) * SPARE * wanted / count))
-    return rows.select(F.pmod(mark, F.lit(1 << 40)).alias("_order"), key, *columns).orderBy("_order", key).limit(wanted).select(*columns)
+    return rows.where(having).select(F.pmod(mark, F.lit(1 << 40)).alias("_order"), key, *columns).orderBy("_order", key).limit(wanted).select(*columns)
