@@ -37,16 +37,16 @@ def _month(time: Column) -> Column:
 
 def _bitmaps(rows: DataFrame, what: str) -> DataFrame:
     return (
-        rows.groupBy(F.bitmap_bucket_number("id").alias("bucket"), "month")
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
-        .select("bucket", "month", F.lit(what).alias("what"), "bits")
+        rows.groupBy(F.bitmap_bucket_number("_key").alias("bucket"), "_month")
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_key")).alias("bits"))
+        .select("bucket", "_month", F.lit(what).alias("what"), "bits")
     )
 
 
 def _and_not(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Of one key range: (id, month) of the bits that survive referenced AND NOT good, months in order."""
     months: dict[int, dict[str, np.ndarray]] = {}
-    for month, what, bits in zip(*(table.column(c).to_pylist() for c in ("month", "what", "bits")), strict=True):
+    for month, what, bits in zip(*(table.column(c).to_pylist() for c in ("_month", "what", "bits")), strict=True):
         months.setdefault(month, {})[what] = np.frombuffer(bits, np.uint8)
     none = np.zeros(_BITMAP_BYTES, np.uint8)
     good = none
@@ -59,7 +59,7 @@ def _and_not(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ids.append(bits)
         at.append(np.full(len(bits), month, np.int32))
     first = (key[0].as_py() - 1) * _BITMAP_BYTES * 8 + 1
-    return pa.table({"id": pa.array(np.concatenate(ids).astype(np.int64) + first), "month": pa.array(np.concatenate(at), pa.int32())})
+    return pa.table({"_key": pa.array(np.concatenate(ids).astype(np.int64) + first), "_month": pa.array(np.concatenate(at), pa.int32())})
 
 
 def orphan_references(references: DataFrame, parents: DataFrame, grace: str = GRACE) -> DataFrame:
@@ -69,41 +69,41 @@ def orphan_references(references: DataFrame, parents: DataFrame, grace: str = GR
     of those that count, the one with the greatest (time, rank) is the latest and decides by ``good``.
     """
     references = references.where(F.col("target").isNotNull() & F.col("t").isNotNull())
-    parents = parents.where(F.col("target").isNotNull() & F.col("time").isNotNull()).withColumn("time", F.col("time") - F.expr(f"interval {grace}"))
+    parents = parents.where(F.col("target").isNotNull() & F.col("time").isNotNull()).select("target", "time", "rank", "good").withColumn("time", F.col("time") - F.expr(f"interval {grace}"))
     # Numbers from 1; kept, since numbering again could number otherwise. A key's number holds its part and its place there.
-    keys = cut(references.select("target").distinct().select("target", (F.monotonically_increasing_id() + 1).alias("id")))
-    refs = references.join(keys, "target").withColumn("month", _month(F.col("t")))
-    known = parents.join(keys, "target").select("id", "time", "rank", "good")
+    keys = cut(references.select("target").distinct().select("target", (F.monotonically_increasing_id() + 1).alias("_key")))
+    refs = references.join(keys, "target").withColumn("_month", _month(F.col("t")))
+    known = parents.join(keys, "target").select("_key", "time", "rank", "good")
     by_month = (
-        known.groupBy("id", _month(F.col("time")).alias("month"))
+        known.groupBy("_key", _month(F.col("time")).alias("_month"))
         .agg(F.max(F.struct("time", "rank", "good")).alias("latest"), F.bool_or(~F.col("good")).alias("any_bad"))
-        .select("id", "month", F.col("latest.good").alias("good"), "any_bad")
+        .select("_key", "_month", F.col("latest.good").alias("good"), "any_bad")
     )
     maps = (
-        _bitmaps(refs.select("id", "month"), "referenced")
+        _bitmaps(refs.select("_key", "_month"), "referenced")
         .unionByName(_bitmaps(by_month.where("good"), "ends_good"))
         .unionByName(_bitmaps(by_month.where("NOT good"), "ends_bad"))
         .unionByName(_bitmaps(by_month.where("any_bad"), "bad"))
     )
-    left = cut(maps.groupBy("bucket").applyInArrow(_and_not, "id long, month int"))
-    suspects = refs.join(left, ["id", "month"], "left_semi")
-    times = suspects.select("id", "t").distinct().withColumn("day", F.to_date("t"))
-    events = known.join(left.select("id").distinct(), "id", "left_semi").withColumn("day", F.to_date("time"))
-    at_day_end = events.groupBy("id", "day").agg(F.max(F.struct("time", "rank", "good")).alias("latest"))
-    days = at_day_end.unionByName(times.select("id", "day").distinct().withColumn("latest", F.lit(None).cast(at_day_end.schema["latest"].dataType)))
-    before = Window.partitionBy("id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    left = cut(maps.groupBy("bucket").applyInArrow(_and_not, "_key long, _month int"))
+    suspects = refs.join(left, ["_key", "_month"], "left_semi")
+    times = suspects.select("_key", "t").distinct().withColumn("_day", F.to_date("t"))
+    events = known.join(left.select("_key").distinct(), "_key", "left_semi").withColumn("_day", F.to_date("time"))
+    at_day_end = events.groupBy("_key", "_day").agg(F.max(F.struct("time", "rank", "good")).alias("latest"))
+    days = at_day_end.unionByName(times.select("_key", "_day").distinct().withColumn("latest", F.lit(None).cast(at_day_end.schema["latest"].dataType)))
+    before = Window.partitionBy("_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        days.groupBy("id", "day")
+        days.groupBy("_key", "_day")
         .agg(F.max("latest").alias("latest"))
-        .select("id", "day", F.last(F.col("latest.good"), ignorenulls=True).over(before).alias("carried"))
+        .select("_key", "_day", F.last(F.col("latest.good"), ignorenulls=True).over(before).alias("carried"))
     )
-    both = times.select("id", "day", F.col("t").alias("time"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast("boolean").alias("good"), F.lit(1).alias("kind")).unionByName(
-        events.select("id", "day", "time", "rank", "good", F.lit(0).alias("kind"))
+    both = times.select("_key", "_day", F.col("t").alias("time"), F.lit(None).cast("long").alias("rank"), F.lit(None).cast("boolean").alias("good"), F.lit(1).alias("kind")).unionByName(
+        events.select("_key", "_day", "time", "rank", "good", F.lit(0).alias("kind"))
     )
-    within = Window.partitionBy("id", "day").orderBy("time", "kind", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    state = both.withColumn("state", F.last("good", ignorenulls=True).over(within)).where("kind = 1").select("id", "day", F.col("time").alias("t"), "state")
-    orphans = state.join(carried, ["id", "day"]).where(~F.coalesce("state", "carried", F.lit(False))).select("id", "t")
-    return suspects.join(orphans, ["id", "t"], "left_semi").drop("id", "month")
+    within = Window.partitionBy("_key", "_day").orderBy("time", "kind", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    state = both.withColumn("state", F.last("good", ignorenulls=True).over(within)).where("kind = 1").select("_key", "_day", F.col("time").alias("t"), "state")
+    orphans = state.join(carried, ["_key", "_day"]).where(~F.coalesce("state", "carried", F.lit(False))).select("_key", "t")
+    return suspects.join(orphans, ["_key", "t"], "left_semi").drop("_key", "_month")
 
 
 def _month_name(time: Column) -> Column:
