@@ -6,7 +6,7 @@ before tags are counted, so markup inside them is never counted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
@@ -75,16 +75,26 @@ def assets(html: Column, base: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: urls.join(base, x))))
 
 
-def quality(html: Column) -> Column:
-    """Struct of content counts and framework marks; blank html gives zeros."""
+def with_quality(rows: DataFrame, html: str = "html") -> DataFrame:
+    """``rows`` with a struct column q of :func:`quality`.
+
+    Generated columns are computed once, however often they are used: first the markup, then the counts.
+    """
+    marked = rows.select("*", F.explode(F.array(markup(F.coalesce(F.col(html), F.lit(""))))).alias("_body"))
+    return marked.select("*", F.explode(F.array(quality(F.col(html), F.col("_body")))).alias("q")).drop("_body")
+
+
+def quality(html: Column, body: Column | None = None) -> Column:
+    """Struct of content counts and framework marks; blank html gives zeros. ``body`` is the html's markup, if it is known."""
     page = F.coalesce(html, F.lit(""))
-    body = markup(page)
+    visible = visible_text(page) if body is None else F.trim(F.regexp_replace(F.regexp_replace(body, r"<[^>]*>", " "), r"\s+", " "))
+    body = markup(page) if body is None else body
 
     def count(pattern: str) -> Column:
         return F.regexp_count(body, F.lit(pattern)).cast("int")
 
     return F.struct(
-        F.length(visible_text(page)).alias("text_length"),
+        F.length(visible).alias("text_length"),
         count(r"(?i)<a\s[^>]*href").alias("link_count"),
         count(r"(?i)<h[1-6]\b").alias("heading_count"),
         count(r"(?i)<p\b").alias("paragraph_count"),

@@ -37,7 +37,7 @@ def breadth_first(seeds: DataFrame, edges: DataFrame, depth_limit: int) -> DataF
 def crawl(results: DataFrame, seeds: DataFrame, rules: Rules, max_pages: int | None = None) -> DataFrame:
     """Pages reached from the seeds by links that the rules follow; exact limit in order of (depth, url)."""
     edges = edges_of(results)
-    edges = edges.where(follow(F.col("dst"), rules))
+    edges = cut(edges.where(follow(F.col("dst"), rules)))  # read on every level
     reached = breadth_first(seeds.select(urls.normalize(F.col("url")).alias("url")), edges, rules.depth_limit if rules.depth_limit is not None else 50)
     return reached.orderBy("depth", "url").limit(max_pages) if max_pages is not None else reached
 
@@ -54,8 +54,8 @@ def routes(results: DataFrame, least_points: int = 30, forced_hosts: tuple[str,
     Stickiness is the host's first such fetch (one aggregate), compared with each
     page's own time, so no host is sorted in one task.
     """
-    q = html.quality(F.col("html"))
-    judged = results.where("html IS NOT NULL AND html <> ''").select("result_id", "fetched_at", urls.host(F.col("url")).alias("host"), q.alias("q"))
+    rows = html.with_quality(results.where("html IS NOT NULL AND html <> ''").select("result_id", "fetched_at", "url", "html"))
+    judged = rows.select("result_id", "fetched_at", urls.host(F.col("url")).alias("host"), "q")
     weak = html.needs_js(F.col("q")) | (html.quality_points(F.col("q")) < least_points) | F.col("host").isin(*forced_hosts)
     judged = judged.select("result_id", "fetched_at", "host", F.coalesce(weak, F.lit(False)).alias("weak"))
     first = judged.where("weak").groupBy("host").agg(F.min(F.struct("fetched_at", "result_id")).alias("first"))

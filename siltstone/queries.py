@@ -131,7 +131,7 @@ def html_title(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def html_quality(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "crawl_results").select("result_id", pages.quality(F.col("html")).alias("q"))
+    rows = pages.with_quality(table(spark, folder, "crawl_results").select("result_id", "html"))
     return rows.select("result_id", "q.*", pages.needs_js(F.col("q")).alias("needs_js"), pages.quality_points(F.col("q")).alias("points"))
 
 
