@@ -57,7 +57,7 @@ def routes(results: DataFrame, least_points: int = 30, forced_hosts: tuple[str,
     rows = html.with_quality(results.where("html IS NOT NULL AND html <> ''").select("result_id", "fetched_at", "url", "html"))
     judged = rows.select("result_id", "fetched_at", urls.host(F.col("url")).alias("host"), "q")
     weak = html.needs_js(F.col("q")) | (html.quality_points(F.col("q")) < least_points) | F.col("host").isin(*forced_hosts)
-    judged = judged.select("result_id", "fetched_at", "host", F.coalesce(weak, F.lit(False)).alias("weak"))
+    judged = cut(judged.select("result_id", "fetched_at", "host", F.coalesce(weak, F.lit(False)).alias("weak")))  # narrow, and read twice
     first = judged.where("weak").groupBy("host").agg(F.min(F.struct("fetched_at", "result_id")).alias("first"))
     later = F.struct("fetched_at", "result_id") > F.col("first")
     return judged.join(first, "host", "left").select("result_id", "host", F.when(F.col("weak") | F.coalesce(later, F.lit(False)), "js").otherwise("http").alias("route"))
