@@ -4,10 +4,11 @@ A multinomial model over hashed byte bigrams (of the UTF-8 form, pairs with at
 least one byte of a non-ASCII character) is trained for clean text and for
 each encoding chain on synthetically garbled records: lines of a bounded
 sample of documents (``SAMPLE_DOCUMENTS``), encoded as they were and decoded
-wrongly. Every document is then scored whole, token by token: tokens that some
-chain explains better than clean text are collected, the chain with the most
-evidence is chosen, inverted, and verified by strict decoding. What is
-restored may be garbled again, so the steps repeat (``ROUNDS``).
+wrongly. Every document is then scored whole, token by token: all tokens
+that are strange in clean text are collected, every chain that explains any of
+them better is inverted and verified by strict decoding, and of the chains that
+pass the one with the most evidence is chosen. What is restored may be garbled
+again, so the steps repeat (``ROUNDS``).
 
 Code spans and blocks are quotations and are not looked at. U+FFFD outside
 them means that characters were lost for good.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -42,8 +44,7 @@ SPREAD = 0.02
 #: Log-probability under which a pair is strange in clean text, and how strange a token must be to be looked at.
 STRANGE = -9.5
 TOKEN_EVIDENCE = 1.0
-#: Chains that are inverted, by their evidence; at most so much of a token may be lost for good.
-TRIED = 8
+#: At most so much of a token may be lost for good.
 LOST_SHARE = 0.34
 #: What a token that does not decode strictly counts for, so that chains which decode all tokens come first; nats for each lost character.
 LOST_WEIGHT = 0.25
@@ -54,8 +55,8 @@ GAIN = 2.0
 EVIDENCE = 10.0
 PACKED_EVIDENCE = 5.0
 SURE_EVIDENCE = 60.0
-#: The strangest tokens, from which the chain is chosen; it is then applied to all tokens.
-LOOKED = 50
+#: Pairs that are scored at once; it bounds memory, not what is looked at.
+SCORED = 1 << 16
 
 # Fixed values: (encoding of the text, encoding it was read in); a chain may hold several such steps, the first applied first.
 _FROM = {
@@ -273,6 +274,33 @@ def _gain(token: str, pairs: np.ndarray, chain: Chain, models: Models, lenient:
     return gain if whole else LOST_WEIGHT * gain - LOST_COST * lost, fixed, whole
 
 
+def _evidence(pairs_of: list[np.ndarray], times: np.ndarray, models: Models) -> np.ndarray:
+    """For each chain, the nats by which it explains tokens better than clean text, over all tokens that it explains better."""
+    out = np.zeros(len(models.chains))
+    sizes = np.array([len(pairs) for pairs in pairs_of])
+    start = 0
+    while start < len(sizes):
+        end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), SCORED, side="right")))
+        flat = np.concatenate(pairs_of[start:end])
+        starts = np.concatenate(([0], np.cumsum(sizes[start : end - 1])))
+        scores = np.add.reduceat(models.ratios[:, flat], starts, axis=1)
+        out += np.maximum(scores, 0) @ times[start:end]
+        start = end
+    return out
+
+
+class Gains(NamedTuple):
+    """Nats that tokens gain by a chain: words of two letters or more (a lone sign fits some letter of many chains), and tokens that got shorter."""
+
+    words: float
+    packed: float
+
+
+def _is_sure(gains: Gains, signs: set[str]) -> bool:
+    """Is a chain accepted without a look at the rest of the text? ``signs`` are the characters that it restores."""
+    return (gains.words >= SURE_EVIDENCE and len(signs) >= 2) or gains.packed >= PACKED_EVIDENCE
+
+
 def _one_round(text: str, shown: str, models: Models) -> tuple[Chain, float, str, bool] | None:
     spans, parts, strange = [], [], []
     for m in _TOKEN.finditer(shown):
@@ -283,38 +311,47 @@ def _one_round(text: str, shown: str, models: Models) -> tuple[Chain, float, str
         spans.append((m.start(), m.end()))
         parts.append(pairs)
         strange.append(models.first[pairs].sum() >= TOKEN_EVIDENCE or _SIGNS.search(token) is not None)
-    looked = [i for i, x in enumerate(strange) if x]
-    if len(looked) > LOOKED:
-        looked = sorted(sorted(looked, key=lambda i: (-models.first[parts[i]].sum(), i))[:LOOKED])
-    if not looked or not len(models.chains):
+    # Equal tokens are judged once and count as often as they stand there.
+    times: Counter = Counter(shown[a:b] for (a, b), x in zip(spans, strange, strict=True) if x)
+    if not times or not len(models.chains):
         return None
-    flat = np.concatenate([parts[i] for i in looked])
-    starts = np.cumsum([0] + [len(parts[i]) for i in looked[:-1]])
-    scores = np.add.reduceat(models.ratios[:, flat], starts, axis=1)
-    evidence = np.maximum(scores, 0).sum(axis=1)
-    best = None
-    for k in np.argsort(-evidence)[:TRIED]:
+    looked = list(times)
+    pairs_of = [bigrams(token) for token in looked]
+    evidence = _evidence(pairs_of, np.array(list(times.values())), models)
+    # No chain gives a token more than it costs as clean text, so a chain that cannot exceed the best one is left early.
+    limits = [-float(models.clean[pairs].sum()) * times[token] for token, pairs in zip(looked, pairs_of, strict=True)]
+    order = sorted(range(len(looked)), key=lambda i: -limits[i])
+    rest = {c for (a, b), x in zip(spans, strange, strict=True) if not x for c in shown[a:b]}
+    best, top = None, None
+    for k in np.argsort(-evidence, kind="stable"):
         if evidence[k] <= 0:
             break
         chain = models.chains[k]
-        total, packed, signs = 0.0, 0.0, set()
-        for i in looked:
-            a, b = spans[i]
-            gain, fixed, _ = _gain(shown[a:b], parts[i], chain, models, True)
+        total, all_gains, gains, signs = 0.0, Gains(0.0, 0.0), Gains(0.0, 0.0), set()
+        left = sum(limits)
+        for i in order:
+            if best is not None and total + left <= best[1]:
+                break
+            left -= limits[i]
+            token = looked[i]
+            gain, fixed, _ = _gain(token, pairs_of[i], chain, models, True)
             if fixed is not None and gain >= GAIN:
-                total += gain
-                if len(fixed) < b - a:
-                    packed += gain
+                word = gain if sum(map(str.isalpha, fixed)) > 1 else 0.0
+                packed = gain if len(fixed) < len(token) else 0.0
+                total += gain * times[token]
+                gains = Gains(gains.words + word, gains.packed + packed)
+                all_gains = Gains(all_gains.words + word * times[token], all_gains.packed + packed * times[token])
                 signs.update(c for c in fixed if c > "\x7f")
-        if best is None or total > best[1]:
-            best = (chain, total, packed, signs)
+        if top is None or total > top[1]:
+            top = (chain, total, all_gains, signs)
+        if (best is None or total > best[1]) and _is_sure(gains, signs):
+            best = (chain, total)
+    # Repeats of one token, and signs that stand elsewhere, speak for the likeliest chain only: one odd sign fits many chains.
+    if top is not None and (best is None or top[1] > best[1]) and (_is_sure(top[2], top[3]) or (top[1] >= EVIDENCE and top[3] <= rest)):
+        best = top[:2]
     if best is None:
         return None
-    chain, total, packed, signs = best
-    if (total < SURE_EVIDENCE or len(signs) < 2) and packed < PACKED_EVIDENCE:
-        rest = {c for i, (a, b) in enumerate(spans) if not strange[i] for c in shown[a:b]}
-        if total < EVIDENCE or not signs <= rest:
-            return None
+    chain, total = best
     pieces, last, failed = [], 0, False
     for (a, b), pairs in zip(spans, parts, strict=True):
         gain, fixed, whole = _gain(shown[a:b], pairs, chain, models, True)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from siltstone.llm import encodings, leakage, packing, repeated_lines
@@ -76,3 +77,17 @@ def test_chunks_follow_content():
     moved = repeated_lines.chunk_ends(["new"] * 3 + words)
     assert len({e + 3 for e in ends} & set(moved)) >= len(ends) - 2
     assert repeated_lines.chunk_hashes(words[:3]) == repeated_lines.chunk_hashes(words[:3])
+
+
+def test_a_few_garbled_words_among_many_strange_ones(models):
+    chain = (("utf-8", "cp1252"),)
+    strange = " ".join("".join(chr(0x10A0 + (7 * i + 3 * k) % 38) for k in range(12)) for i in range(90))
+    garbled = encodings.garble("größte Brücke", chain)
+    assert encodings.judge(f"{strange} {garbled}", models).restored == f"{strange} größte Brücke"
+    assert not encodings.judge(strange, models).garbled
+
+
+def test_a_chain_of_low_rank_is_tried(models):
+    ranks = encodings.Models(models.clean, np.concatenate([np.repeat(models.ratios.max(axis=0, keepdims=True), 9, axis=0), models.ratios]), models.first, [(("cp437", "cp1252"),)] * 9 + models.chains)
+    broken = encodings.garble(CLEAN[0], (("utf-8", "cp1252"),))
+    assert encodings.judge(broken, ranks).restored == CLEAN[0]
