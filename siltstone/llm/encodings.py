@@ -50,11 +50,13 @@ LOST_SHARE = 0.34
 LOST_WEIGHT = 0.25
 LOST_COST = 2.0
 #: Nats by which a restored token must be likelier, and the tokens together: if their characters stand elsewhere in
-#: the text, if several characters became one (hardly any clean text decodes like that), and in any case.
+#: the text or are common in clean text, if several characters became one (hardly any clean text decodes like that), and in any case.
 GAIN = 2.0
 EVIDENCE = 10.0
 PACKED_EVIDENCE = 5.0
 SURE_EVIDENCE = 60.0
+#: A character is common if it stands in one of so many clean lines.
+COMMON_LINES = 1000
 #: Pairs that are scored at once; it bounds memory, not what is looked at.
 SCORED = 1 << 16
 
@@ -151,12 +153,13 @@ def bigrams(text: str) -> np.ndarray:
 
 
 class Models(NamedTuple):
-    """``clean`` log-probabilities, ``ratios`` of each chain against them, ``first`` how strange a pair is in clean text."""
+    """``clean`` log-probabilities, ``ratios`` of each chain against them, ``first`` how strange a pair is in clean text, ``common`` characters of clean text."""
 
     clean: np.ndarray
     ratios: np.ndarray
     first: np.ndarray
     chains: list[Chain]
+    common: frozenset[str] = frozenset()
 
 
 def _model(counts: np.ndarray) -> np.ndarray:
@@ -174,6 +177,14 @@ def _clean_model(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return clean, first
 
 
+def _common(lines: list[str]) -> frozenset[str]:
+    """Characters outside ASCII that stand in many of the lines."""
+    on: Counter = Counter()
+    for line in lines:
+        on.update({c for c in line if c > "\x7f"})
+    return frozenset(c for c, n in on.items() if n * COMMON_LINES >= len(lines))
+
+
 def tokens(line: str) -> list[str]:
     """Tokens with characters outside ASCII."""
     return [m[0] for m in _TOKEN.finditer(line) if not m[0].isascii() and m[0].strip("\xa0")]
@@ -220,7 +231,7 @@ def fit_models(texts: Iterable[str | None]) -> Models:
         if counts.sum() >= 200:
             ratios.append(_model(counts) - clean)
             chains.append(chain)
-    return Models(clean, np.stack(ratios) if ratios else np.zeros((0, 65536), np.float32), first, chains)
+    return Models(clean, np.stack(ratios) if ratios else np.zeros((0, 65536), np.float32), first, chains, _common(kept))
 
 
 class Verdict(NamedTuple):
@@ -296,9 +307,9 @@ class Gains(NamedTuple):
     packed: float
 
 
-def _is_sure(gains: Gains, signs: set[str]) -> bool:
-    """Is a chain accepted without a look at the rest of the text? ``signs`` are the characters that it restores."""
-    return (gains.words >= SURE_EVIDENCE and len(signs) >= 2) or gains.packed >= PACKED_EVIDENCE
+def _is_sure(gains: Gains, signs: set[str], known: set[str]) -> bool:
+    """Is a chain accepted? ``signs`` are the characters that it restores, ``known`` those of the text's other tokens and of clean text."""
+    return gains.words >= SURE_EVIDENCE or gains.packed >= PACKED_EVIDENCE or (gains.words >= EVIDENCE and signs <= known)
 
 
 def _one_round(text: str, shown: str, models: Models) -> tuple[Chain, float, str, bool] | None:
@@ -322,6 +333,7 @@ def _one_round(text: str, shown: str, models: Models) -> tuple[Chain, float, str
     limits = [-float(models.clean[pairs].sum()) * times[token] for token, pairs in zip(looked, pairs_of, strict=True)]
     order = sorted(range(len(looked)), key=lambda i: -limits[i])
     rest = {c for (a, b), x in zip(spans, strange, strict=True) if not x for c in shown[a:b]}
+    known = rest | models.common
     best, top = None, None
     for k in np.argsort(-evidence, kind="stable"):
         if evidence[k] <= 0:
@@ -344,10 +356,10 @@ def _one_round(text: str, shown: str, models: Models) -> tuple[Chain, float, str
                 signs.update(c for c in fixed if c > "\x7f")
         if top is None or total > top[1]:
             top = (chain, total, all_gains, signs)
-        if (best is None or total > best[1]) and _is_sure(gains, signs):
+        if (best is None or total > best[1]) and _is_sure(gains, signs, known):
             best = (chain, total)
-    # Repeats of one token, and signs that stand elsewhere, speak for the likeliest chain only: one odd sign fits many chains.
-    if top is not None and (best is None or top[1] > best[1]) and (_is_sure(top[2], top[3]) or (top[1] >= EVIDENCE and top[3] <= rest)):
+    # Repeats of one token, and lone signs that stand elsewhere, speak for the likeliest chain only: one odd sign fits many chains.
+    if top is not None and (best is None or top[1] > best[1]) and (_is_sure(top[2], top[3], rest) or (top[1] >= EVIDENCE and top[3] <= rest)):
         best = top[:2]
     if best is None:
         return None

@@ -91,3 +91,14 @@ def test_a_chain_of_low_rank_is_tried(models):
     ranks = encodings.Models(models.clean, np.concatenate([np.repeat(models.ratios.max(axis=0, keepdims=True), 9, axis=0), models.ratios]), models.first, [(("cp437", "cp1252"),)] * 9 + models.chains)
     broken = encodings.garble(CLEAN[0], (("utf-8", "cp1252"),))
     assert encodings.judge(broken, ranks).restored == CLEAN[0]
+
+
+@pytest.mark.parametrize(("text", "times", "chain"), [("The café isn’t open", 1, None), ("it isn’t open ", 200, (("mac-roman", "cp1252"),))])
+def test_signs_that_do_not_stand_elsewhere(models, text, times, chain):
+    broken = encodings.garble(text, chain) * times if chain else text
+    verdict = encodings.judge(broken, models)
+    assert verdict.garbled == (chain is not None) and verdict.restored == text * times
+
+
+def test_lone_signs_are_no_letters(models):
+    assert not encodings.judge("It costs € or £ here. " * 20, models).garbled
