@@ -68,6 +68,11 @@ def split_tags(page: str) -> list[str]:
 
 def blocks_of_parts(parts: list[str]) -> list[Block]:
     """Blocks of what :func:`split_tags` gives."""
+    return blocks_and_rest(parts)[0]
+
+
+def blocks_and_rest(parts: list[str]) -> tuple[list[Block], str]:
+    """Blocks of what :func:`split_tags` gives, and the text after the last one."""
     out: list[Block] = []
     block_tags = BLOCK_TAGS
     count = len(parts)
@@ -97,13 +102,13 @@ def blocks_of_parts(parts: list[str]) -> list[Block]:
                         break
                     more.append(parts[k + 1])
                     k += 2
-        out.append(Block(name, text, "".join(outside)))
+        out.append(Block(name, text, "\n".join(outside)))
         outside = []
         if j < count and parts[j].lower() not in block_tags:
             outside.append(parts[j + 1])
             j += 2
         i = j
-    return out
+    return out, "\n".join(outside)
 
 
 def blocks(page: str | None) -> list[Block]:
