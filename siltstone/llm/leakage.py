@@ -5,7 +5,8 @@ joined by blanks. A shared run of ``min_words`` words is at least as long as
 the shortest such run of the passages, so by the q-gram lemma it shares at
 least ``length + 1 - q * (edits + 1)`` q-grams whose diagonals (place in the document
 less place in the passage) fall into one band. Bands overlap by half, so no
-run is split between two. What meets the bound is aligned word by word within
+run is split between two, and within a band hits that do not overlap are
+stretches of their own. What meets the bound is aligned word by word within
 the band, and the longest run of equal words decides.
 
 All passages are one stated query set: they are held by every task, in blocks
@@ -155,7 +156,11 @@ def find_leaks(texts: list[bytes], index: Passages, min_words: int = MIN_WORDS,
         band = (diagonal + shift) // BAND
         order = np.lexsort((inside, band, item, doc))
         d, i, b = doc[order], item[order], band[order]
-        change = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) != 0) | (np.diff(b) != 0)) + 1
+        change = (np.diff(d) != 0) | (np.diff(i) != 0) | (np.diff(b) != 0)
+        if not edits:
+            # A run without edits has a q-gram at each byte, so hits that do not overlap are different stretches.
+            change |= np.diff(inside[order]) > q
+        change = np.flatnonzero(change) + 1
         if not len(order):
             return []
         starts, ends = np.concatenate(([0], change)), np.append(change, len(order))

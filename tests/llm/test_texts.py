@@ -102,3 +102,10 @@ def test_signs_that_do_not_stand_elsewhere(models, text, times, chain):
 
 def test_lone_signs_are_no_letters(models):
     assert not encodings.judge("It costs € or £ here. " * 20, models).garbled
+
+
+def test_a_run_behind_a_rewritten_part_of_other_word_count():
+    first, last = [f"first{i}x" for i in range(5)], [f"second{i}y" for i in range(13)]
+    text = " ".join([*first, *["ab"] * 40, *last])
+    passage = " ".join([*first, *["abcde"] * 20, *last])
+    assert leakage.find_leaks([leakage.words_text(text)], leakage.index_passages([(1, passage)])) == [(0, 0)]
