@@ -27,6 +27,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.repeated_lines(_table(spark, folder, "crawl_results"))
 
 
+def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Text of each page without the lines repeated on its site."""
+    results = _table(spark, folder, "crawl_results")
+    return repeated_lines.without_repeated_lines(results, repeated_lines.repeated_lines(results))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     results = _table(spark, folder, "crawl_results")
     return residue.residue_pages(results, residue.fit_models_on(results))
@@ -52,7 +58,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p5_found, p6_containers, p7_found, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_cleaned, p5_found, p6_containers, p7_found, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,10 +2,13 @@
 
 The words of each line are cut into content-defined chunks: a rolling hash
 over ``SPAN`` words ends a chunk where its low bits are zero, so equal word
-runs give equal chunks wherever they stand; a line's end also ends a chunk.
-Distinct pages (normalised urls) are counted by site and chunk. Lines all of
-whose chunks are excessive are candidates; an exact count of the whole line,
-among candidates only, decides for lines of several chunks.
+runs give equal chunks wherever they stand. What has to be cut are blocks, so
+a line's ends are cut points too, and a chunk's hash tells whether it begins
+or ends its line: a short line is one chunk that no part of a longer line equals.
+Distinct pages (normalised urls) are counted by site and chunk. A line all of
+whose chunks are excessive is a candidate; a line of one chunk has its exact
+count thereby, and for lines of several chunks an exact count of the whole
+line, among candidates only, decides.
 
 A line is a block h1-h6, p or li with at least ``MIN_WORDS`` words of letters,
 lower-cased; it is cut if it stands on ``MIN_PAGES`` and on ``MIN_SHARE`` of
@@ -22,13 +25,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.urls import normalised_address
 from siltstone.llm.html_blocks import LINE_TAGS, blocks, plain
 from siltstone.llm.main_body import LETTER_WORDS
+from siltstone.plans.lineage import keep
 
 MIN_WORDS = 3
 MIN_PAGES = 5
@@ -67,11 +70,12 @@ def chunk_ends(words: list[str]) -> list[int]:
 
 
 def chunk_hashes(words: list[str]) -> list[int]:
-    """Signed 64-bit hash of each chunk of a line."""
+    """Signed 64-bit hash of each chunk of a line, its seed telling whether the chunk begins (1) or ends (2) the line."""
     start = 0
     out = []
     for end in chunk_ends(words):
-        out.append(xxhash.xxh3_64_intdigest(" ".join(words[start:end])) - (1 << 63))
+        edges = (start == 0) | (end == len(words)) << 1
+        out.append(xxhash.xxh3_64_intdigest(" ".join(words[start:end]), edges) - (1 << 63))
         start = end
     return out
 
@@ -99,7 +103,7 @@ def page_lines(results: DataFrame) -> DataFrame:
                         line = None
                         if len(words) >= MIN_WORDS:
                             cut = chunk_hashes(words)
-                            line = (cut[0] if len(cut) == 1 else xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63), cut)
+                            line = (cut[0] if len(cut) == 1 else xxhash.xxh3_64_intdigest(" ".join(words), 3) - (1 << 63), cut)
                         if len(raw) < 200:
                             if len(known) > 50_000:
                                 known.clear()
@@ -132,18 +136,19 @@ def repeated_lines(results: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
 
     The excessive marks of one site are few (at most the lines of an average
     page divided by ``min_share``), so they go to the site's pages as one
-    array, repeated for ``splits`` parts of a site: a hot site is spread over as many tasks.
+    array, repeated for ``splits`` parts of a site: a hot site is spread over
+    as many tasks. The array is compared once for each page, not for each line.
     """
-    lines = page_lines(results).persist(StorageLevel.MEMORY_AND_DISK)
+    lines = keep(page_lines(results))
     sizes = lines.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("site_pages"))
     chunk_marks = lines.select("site", "page", F.explode(F.array_distinct(F.flatten("chunks"))).alias("mark"))
     bad = _excessive(chunk_marks, sizes, min_pages, min_share).groupBy("site").agg(F.collect_set("mark").alias("bad"))
     salted = lines.withColumn("part", F.pmod(F.xxhash64("result_id"), F.lit(splits)).cast("int"))
     bad_parts = bad.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    joined = salted.join(bad_parts, ["site", "part"])
+    joined = salted.join(bad_parts, ["site", "part"]).withColumn("rare", F.array_except(F.flatten("chunks"), "bad")).drop("bad")
     candidates = (
-        joined.select("result_id", "site", "page", "bad", F.explode(F.arrays_zip("line_nos", "lines", "chunks")).alias("x"))
-        .where(F.size(F.array_except("x.chunks", "bad")) == 0)
+        joined.select("result_id", "site", "page", "rare", F.explode(F.arrays_zip("line_nos", "lines", "chunks")).alias("x"))
+        .where(~F.arrays_overlap("x.chunks", "rare"))
         .select("result_id", "site", "page", F.col("x.line_nos").alias("block_no"), F.col("x.lines").alias("mark"), (F.size("x.chunks") > 1).alias("several"))
     )
     single = candidates.where(~F.col("several")).select("result_id", "block_no")
@@ -152,3 +157,23 @@ def repeated_lines(results: DataFrame, min_pages: int = MIN_PAGES, min_share: fl
     kept = whole.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     exact = several.withColumn("part", F.pmod(F.xxhash64("result_id"), F.lit(splits)).cast("int")).join(kept, ["site", "mark", "part"]).select("result_id", "block_no")
     return single.unionByName(exact)
+
+
+def without_repeated_lines(results: DataFrame, found: DataFrame) -> DataFrame:
+    """(result_id, removed, text) of each page of ``results(result_id, html)``: the texts of its blocks, one in a row, without those of ``found(result_id, block_no)``.
+
+    Pages without html give no row; a page all of whose blocks were found has empty text.
+    """
+    cut_from = found.groupBy("result_id").agg(F.collect_set("block_no").alias("cut"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            removed, texts = [], []
+            for page, cut in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                gone = set(cut or ())
+                removed.append(len(gone))
+                texts.append("\n".join(" ".join(plain(b.raw).split()) for i, b in enumerate(blocks(page)) if i + 1 not in gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int32()), pa.array(texts, pa.string())], ["result_id", "removed", "text"])
+
+    pages = results.where("html <> ''").select("result_id", "html").join(cut_from, "result_id", "left").select("result_id", "html", "cut")
+    return pages.mapInArrow(make, "result_id long, removed int, text string")

@@ -107,3 +107,22 @@ def test_tables_with_nulls_and_nothing(spark):
         assert encodings.restore(rows, encodings.fit_models_on(rows)).count() == 0
         assert leakage.leaked_items(rows, items).count() == 0
         assert leakage.leaked_items(rows, items.where("false")).count() == 0
+
+
+def letters(n):
+    return "".join(chr(97 + int(d)) for d in f"{n:03d}")
+
+
+def test_a_line_that_is_the_end_of_a_longer_one(spark):
+    words = next(w for w in ([f"{letters(n)}x{letters(k)}" for k in range(24)] for n in range(999)) if len(repeated_lines.chunk_ends(w)) == 2 and len(repeated_lines.chunk_ends(w[repeated_lines.chunk_ends(w)[0] :])) == 1)
+    tail = words[repeated_lines.chunk_ends(words)[0] :]
+    rows = [(n, f"https://h.example/{n}", f"<p>{' '.join(words)}") for n in range(6)] + [(n, f"https://h.example/{n}", f"<p>{' '.join(tail)}") for n in (6, 7)]
+    results = spark.createDataFrame(rows, "result_id long, url string, html string")
+    assert {tuple(r) for r in repeated_lines.repeated_lines(results).collect()} == {(n, 1) for n in range(6)}
+
+
+def test_lines_are_cut_from_the_text(spark):
+    rows = [(n, f"https://h.example/{n}", f"<p>Same legal line {n} here<p>own {letters(n)} {letters(n * 7)} words") for n in range(9)] + [(9, "u", None), (10, "https://h.example/x", "text only")]
+    results = spark.createDataFrame(rows, "result_id long, url string, html string")
+    got = {r["result_id"]: (r["removed"], r["text"]) for r in repeated_lines.without_repeated_lines(results, repeated_lines.repeated_lines(results)).collect()}
+    assert got == {n: (1, f"own {letters(n)} {letters(n * 7)} words") for n in range(9)} | {10: (0, "")}
