@@ -5,7 +5,7 @@ least one byte of a non-ASCII character) is trained for clean text and for
 each encoding chain on synthetically garbled records: lines of a bounded
 sample of documents (``SAMPLE_DOCUMENTS``), encoded as they were and decoded
 wrongly. Every document is then scored whole, token by token: all tokens
-that are strange in clean text are collected, every chain that explains any of
+that are strange in clean text, or that the classifier gives to some chain, are collected, every chain that explains any of
 them better is inverted and verified by strict decoding, and of the chains that
 pass the one with the most evidence is chosen. What is restored may be garbled
 again, so the steps repeat (``ROUNDS``).
@@ -44,6 +44,10 @@ SPREAD = 0.02
 #: Log-probability under which a pair is strange in clean text, and how strange a token must be to be looked at.
 STRANGE = -9.5
 TOKEN_EVIDENCE = 1.0
+#: Nats by which some chain must explain a token better than clean text, if it is not strange by itself.
+CHAIN_EVIDENCE = 3.0
+#: Tokens whose first look is remembered.
+KNOWN_TOKENS = 200_000
 #: At most so much of a token may be lost for good.
 LOST_SHARE = 0.34
 #: What a token that does not decode strictly counts for, so that chains which decode all tokens come first; nats for each lost character.
@@ -89,6 +93,10 @@ _UNSHOWN = re.compile("[\x00-\x1f\x7f-\x9f\ue000-\uf8ff]")
 _CONTROL = re.compile("[\x80-\x9f]")
 #: A token's part that was lost can be judged only if the token has so many pairs.
 LOST_PAIRS = 8
+# Punctuation that stands around words.
+_EDGES = "“”„‟‘’‚‹›«»…—–·•¿¡" + "".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~"
+#: A Latin letter of ASCII beside a Greek or Cyrillic one, or one East Asian sign between two: no word, whatever the chain.
+_MIXED = re.compile("[A-Za-z][\u0370-\u052f]|[\u0370-\u052f][A-Za-z]|[A-Za-z][\u2e80-\u9fff\uac00-\ud7af][A-Za-z]")
 # A no-break space ends a token, unless it follows what may be the first byte of a wrongly read pair.
 _TOKEN = re.compile("(?:[^ \\t\\r\\n\xa0]|(?<=[^\x00-\x7f])\xa0)+")
 
@@ -170,6 +178,13 @@ def _count(texts: Iterable[str]) -> np.ndarray:
     return np.bincount(bigrams("\n".join(texts)), minlength=65536).astype(float)
 
 
+def _count_tokens(own: list[str], times: list[int]) -> np.ndarray:
+    if not own:
+        return np.zeros(65536)
+    pairs_of = [bigrams(t) for t in own]
+    return np.bincount(np.concatenate(pairs_of), np.repeat(np.array(times, float), list(map(len, pairs_of))), minlength=65536)
+
+
 def _clean_model(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     clean = _model(_count(lines) + CAPITALS * _count(line.upper() for line in lines))
     first = (STRANGE - clean).astype(np.float32)
@@ -223,11 +238,12 @@ def fit_models(texts: Iterable[str | None]) -> Models:
     for _ in range(2):
         kept = [line for line in kept if all(first[bigrams(t)].sum() < TOKEN_EVIDENCE and not _CONTROL.search(t) for t in tokens(line))]
         clean, first = _clean_model(kept)
-    # Chains are learnt from an even choice of the clean lines: their pairs are few and frequent.
+    # Chains are learnt from an even choice of the clean lines, whose pairs are few and frequent, and of those from the tokens that they change.
     ratios, chains = [], []
-    some = kept[:: max(1, len(kept) // CHAIN_LINES)]
+    times = Counter(t for line in kept[:: max(1, len(kept) // CHAIN_LINES)] for t in tokens(line))
     for chain in CHAINS:
-        counts = _count([g for g in (garble(line, chain) for line in some) if g is not None and "�" not in g])
+        changed = [(g, n) for g, t, n in ((garble(t, chain), t, n) for t, n in times.items()) if g is not None and g != t and "�" not in g]
+        counts = _count_tokens([g for g, _ in changed], [n for _, n in changed])
         if counts.sum() >= 200:
             ratios.append(_model(counts) - clean)
             chains.append(chain)
@@ -242,9 +258,7 @@ class Verdict(NamedTuple):
     complete: bool
 
 
-
-
-def judge(text: str, models: Models, rounds: int = ROUNDS) -> Verdict:
+def judge(text: str, models: Models, rounds: int = ROUNDS, looker: Looker | None = None) -> Verdict:
     """Is the text garbled outside code? Restores what decodes strictly and becomes likelier, in up to ``rounds`` rounds."""
     lost = False
     chains_seen: Chain | None = None
@@ -254,7 +268,7 @@ def judge(text: str, models: Models, rounds: int = ROUNDS) -> Verdict:
     for _ in range(rounds):
         shown = without_code(current)
         lost = lost or "�" in shown
-        found = _one_round(current, shown, models)
+        found = _one_round(current, shown, models, looker)
         if found is None:
             break
         chain, evidence, replaced, failed = found
@@ -278,8 +292,10 @@ def _gain(token: str, pairs: np.ndarray, chain: Chain, models: Models, lenient:
         lost = fixed.count("\ufffd") + max(0, fixed.count("?") - token.count("?"))
         if lost > LOST_SHARE * len(fixed):
             return 0.0, None, False
-    if not fixed or _UNSHOWN.search(fixed):
+    if not fixed or _UNSHOWN.search(fixed) or (_MIXED.search(fixed) and not _MIXED.search(token)):
         return 0.0, None, False
+    if len(fixed) == len(token) and is_quoted_ascii(token):
+        return 0.0, None, False  # quotation marks around a word are no letters of it
     after = bigrams(fixed)
     gain = float(models.clean[after].sum() - models.clean[pairs].sum())
     return gain if whole else LOST_WEIGHT * gain - LOST_COST * lost, fixed, whole
@@ -312,16 +328,16 @@ def _is_sure(gains: Gains, signs: set[str], known: set[str]) -> bool:
     return gains.words >= SURE_EVIDENCE or gains.packed >= PACKED_EVIDENCE or (gains.words >= EVIDENCE and signs <= known)
 
 
-def _one_round(text: str, shown: str, models: Models) -> tuple[Chain, float, str, bool] | None:
-    spans, parts, strange = [], [], []
+def _one_round(text: str, shown: str, models: Models, looker: Looker | None = None) -> tuple[Chain, float, str, bool] | None:
+    spans, parts = [], []
     for m in _TOKEN.finditer(shown):
         token = m[0]
         if token.isascii() or "\ufffd" in token:
             continue
-        pairs = bigrams(token)
         spans.append((m.start(), m.end()))
-        parts.append(pairs)
-        strange.append(models.first[pairs].sum() >= TOKEN_EVIDENCE or _SIGNS.search(token) is not None)
+        parts.append(bigrams(token))
+    verdicts = (looker or Looker(models)).look(shown[a:b] for a, b in spans)
+    strange = [verdicts[shown[a:b]] or _SIGNS.search(shown[a:b]) is not None for a, b in spans]
     # Equal tokens are judged once and count as often as they stand there.
     times: Counter = Counter(shown[a:b] for (a, b), x in zip(spans, strange, strict=True) if x)
     if not times or not len(models.chains):
@@ -377,39 +393,49 @@ def _one_round(text: str, shown: str, models: Models) -> tuple[Chain, float, str
     return chain, total, "".join([*pieces, text[last:]]), failed
 
 
-def looks_garbled(texts: list[str], models: Models) -> np.ndarray:
+def is_quoted_ascii(token: str) -> bool:
+    """Is all that is not ASCII in the token punctuation around it?"""
+    return token.strip(_EDGES).isascii()
+
+
+class Looker:
+    """First look at tokens: is one strange in clean text, or does the classifier find it likelier under some chain? Verdicts of short tokens are remembered."""
+
+    def __init__(self, models: Models):
+        self.models = models
+        self.known: dict[str, bool] = {}
+
+    def look(self, wanted: Iterable[str]) -> dict[str, bool]:
+        """Verdict of each token with characters outside ASCII."""
+        known = self.known
+        if len(known) > KNOWN_TOKENS:
+            known.clear()
+        wanted = set(wanted)
+        new = [t for t in wanted if t not in known]
+        fresh: dict[str, bool] = {}
+        start = 0
+        while start < len(new):
+            pairs_of, size = [], 0
+            while start + len(pairs_of) < len(new) and (not pairs_of or size < SCORED):
+                pairs_of.append(bigrams(new[start + len(pairs_of)]))
+                size += len(pairs_of[-1])
+            flat = np.concatenate(pairs_of)
+            edges = np.concatenate(([0], np.cumsum([len(x) for x in pairs_of[:-1]]))).astype(np.int64)
+            strange = np.add.reduceat(self.models.first[flat], edges) >= TOKEN_EVIDENCE
+            if len(self.models.chains):
+                likelier = np.add.reduceat(self.models.ratios[:, flat], edges, axis=1).max(axis=0) >= CHAIN_EVIDENCE
+                strange |= likelier & [not is_quoted_ascii(t) for t in new[start : start + len(pairs_of)]]
+            fresh.update(zip(new[start : start + len(pairs_of)], strange.tolist(), strict=True))
+            start += len(pairs_of)
+        known.update((t, x) for t, x in fresh.items() if len(t) <= 64)
+        return {t: fresh[t] if t in fresh else known[t] for t in wanted}
+
+
+def looks_garbled(texts: list[str], looker: Looker) -> list[bool]:
     """First look at many texts at once: whether any token could be garbled. It only spares :func:`judge` clean texts."""
-    joined = "\n".join(texts).encode("utf-8", "replace")
-    data = np.frombuffer(joined, np.uint8)
-    out = np.zeros(len(texts), bool)
-    if len(data) < 2:
-        return out
-    sizes = np.array([len(t.encode("utf-8", "replace")) + 1 for t in texts])
-    ends = np.cumsum(sizes)
-    for i, text in enumerate(texts):
-        if _SIGNS.search(text):
-            out[i] = True
-    step = 1 << 22
-    start = 0
-    while start < len(data):
-        end = min(len(data), start + step)
-        if end < len(data):
-            cut = joined.find(b"\n", end)
-            end = len(data) if cut < 0 else cut + 1
-        piece = data[start:end]
-        score = models.first[piece[:-1].astype(np.uint16) << 8 | piece[1:]]
-        blank = np.flatnonzero(piece[:-1] <= 32)
-        edges = np.concatenate(([0], blank + 1))
-        edges = edges[edges < len(score)]
-        # A token's sum also holds the pairs with the blanks around it.
-        sums = np.add.reduceat(score, edges)
-        if len(blank):
-            before = np.concatenate(([0.0], score[blank]))[: len(edges)]
-            sums = sums + before
-        hits = edges[sums >= TOKEN_EVIDENCE] + start
-        out[np.searchsorted(ends, hits, side="right")] = True
-        start = end
-    return out
+    parts = [{t for t in text.split() if not t.isascii()} for text in texts]
+    verdicts = looker.look(set().union(*parts))
+    return [any(map(verdicts.__getitem__, own)) or _SIGNS.search(text) is not None for text, own in zip(texts, parts, strict=True)]
 
 
 def fit_models_on(documents: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> Models:
@@ -432,13 +458,14 @@ def restore(documents: DataFrame, models: Models, rounds: int = ROUNDS) -> DataF
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
+        looker = Looker(models)
         for batch in batches:
             pairs = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t and not t.isascii()]
-            likely = looks_garbled([without_code(t) for _, t in pairs], models) if pairs else []
+            likely = looks_garbled([without_code(t) for _, t in pairs], looker) if pairs else []
             rows = []
             for (i, t), look in zip(pairs, likely, strict=True):
                 if look or "�" in t:
-                    v = judge(t, models, rounds)
+                    v = judge(t, models, rounds, looker)
                     if v.garbled:
                         rows.append((i, "; ".join(f"{a} read as {b}" for a, b in v.chain) if v.chain else "lost characters", v.evidence, v.restored, v.complete))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5

@@ -109,3 +109,15 @@ def test_a_run_behind_a_rewritten_part_of_other_word_count():
     text = " ".join([*first, *["ab"] * 40, *last])
     passage = " ".join([*first, *["abcde"] * 20, *last])
     assert leakage.find_leaks([leakage.words_text(text)], leakage.index_passages([(1, passage)])) == [(0, 0)]
+
+
+@pytest.mark.parametrize(("text", "chain"), [("La région protégée reçoit des élèves", (("cp1252", "mac-roman"),)), ("La région protégée des élèves", (("cp1252", "cp850"),)), ("Каждая строка меняет пустую область.", (("koi8-r", "cp1251"),))])
+def test_letters_that_stay_letters_of_the_same_script(models, text, chain):
+    broken = encodings.garble(text, chain)
+    verdict = encodings.judge(f"{broken}\n{' '.join(CLEAN)}", models)
+    assert verdict.garbled and verdict.restored.startswith(text)
+
+
+def test_quotation_marks_are_no_letters(models):
+    for text in ("„leere „schnelle “local lazy” «oui»", "OPÇÕES LÖSUNG ÉQUIPE"):
+        assert not encodings.judge(f"{text}\n{CLEAN[0]}", models).garbled
