@@ -45,7 +45,7 @@ SPREAD = 0.02
 STRANGE = -9.5
 TOKEN_EVIDENCE = 1.0
 #: Nats by which some chain must explain a token better than clean text, if it is not strange by itself.
-CHAIN_EVIDENCE = 3.0
+CHAIN_EVIDENCE = 7.0
 #: Tokens whose first look is remembered.
 KNOWN_TOKENS = 200_000
 #: At most so much of a token may be lost for good.
@@ -94,9 +94,9 @@ _CONTROL = re.compile("[\x80-\x9f]")
 #: A token's part that was lost can be judged only if the token has so many pairs.
 LOST_PAIRS = 8
 # Punctuation that stands around words.
-_EDGES = "“”„‟‘’‚‹›«»…—–·•¿¡" + "".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~"
-#: A Latin letter of ASCII beside a Greek or Cyrillic one, or one East Asian sign between two: no word, whatever the chain.
-_MIXED = re.compile("[A-Za-z][\u0370-\u052f]|[\u0370-\u052f][A-Za-z]|[A-Za-z][\u2e80-\u9fff\uac00-\ud7af][A-Za-z]")
+_EDGES = "\xa0“”„‟‘’‚‹›«»…—–·•¿¡" + "".join(map(chr, range(33, 48))) + ":;<=>?@[]^_`{|}~"
+#: A Latin letter of ASCII beside a Greek, Cyrillic or Armenian one, or one East Asian sign between two: no word, whatever the chain.
+_MIXED = re.compile("[A-Za-z][\u0370-\u058f]|[\u0370-\u058f][A-Za-z]|[A-Za-z][\u2e80-\u9fff\uac00-\ud7af][A-Za-z]")
 # A no-break space ends a token, unless it follows what may be the first byte of a wrongly read pair.
 _TOKEN = re.compile("(?:[^ \\t\\r\\n\xa0]|(?<=[^\x00-\x7f])\xa0)+")
 
@@ -233,7 +233,7 @@ def fit_models(texts: Iterable[str | None]) -> Models:
             continue
         own = [x for x in without_code(text).splitlines() if not x.isascii()]
         lines += [x[:400] for x in own[:: max(1, len(own) // SAMPLE_LINES)][:SAMPLE_LINES]]
-    kept = [line for line in lines if not any(_is_doubly_encoded(t) for t in tokens(line))]
+    kept = [line for line in lines if not any(_is_doubly_encoded(t) or is_oddly_cased(t) for t in tokens(line))]
     clean, first = _clean_model(kept)
     for _ in range(2):
         kept = [line for line in kept if all(first[bigrams(t)].sum() < TOKEN_EVIDENCE and not _CONTROL.search(t) for t in tokens(line))]
@@ -294,6 +294,8 @@ def _gain(token: str, pairs: np.ndarray, chain: Chain, models: Models, lenient:
             return 0.0, None, False
     if not fixed or _UNSHOWN.search(fixed) or (_MIXED.search(fixed) and not _MIXED.search(token)):
         return 0.0, None, False
+    if is_oddly_cased(fixed) and not is_oddly_cased(token):
+        return 0.0, None, False
     if len(fixed) == len(token) and is_quoted_ascii(token):
         return 0.0, None, False  # quotation marks around a word are no letters of it
     after = bigrams(fixed)
@@ -329,13 +331,7 @@ def _is_sure(gains: Gains, signs: set[str], known: set[str]) -> bool:
 
 
 def _one_round(text: str, shown: str, models: Models, looker: Looker | None = None) -> tuple[Chain, float, str, bool] | None:
-    spans, parts = [], []
-    for m in _TOKEN.finditer(shown):
-        token = m[0]
-        if token.isascii() or "\ufffd" in token:
-            continue
-        spans.append((m.start(), m.end()))
-        parts.append(bigrams(token))
+    spans = [m.span() for m in _TOKEN.finditer(shown) if not m[0].isascii() and "\ufffd" not in m[0]]
     verdicts = (looker or Looker(models)).look(shown[a:b] for a, b in spans)
     strange = [verdicts[shown[a:b]] or _SIGNS.search(shown[a:b]) is not None for a, b in spans]
     # Equal tokens are judged once and count as often as they stand there.
@@ -381,8 +377,12 @@ def _one_round(text: str, shown: str, models: Models, looker: Looker | None = No
         return None
     chain, total = best
     pieces, last, failed = [], 0, False
-    for (a, b), pairs in zip(spans, parts, strict=True):
-        gain, fixed, whole = _gain(shown[a:b], pairs, chain, models, True)
+    gain_of: dict[str, tuple[float, str | None, bool]] = {}
+    for a, b in spans:
+        token = shown[a:b]
+        if token not in gain_of:
+            gain_of[token] = _gain(token, bigrams(token), chain, models, True)
+        gain, fixed, whole = gain_of[token]
         if fixed is None or gain < GAIN:
             continue
         if not whole:
@@ -393,6 +393,11 @@ def _one_round(text: str, shown: str, models: Models, looker: Looker | None = No
     return chain, total, "".join([*pieces, text[last:]]), failed
 
 
+def is_oddly_cased(token: str) -> bool:
+    """Does a capital stand behind a small letter, at least one of them outside ASCII?"""
+    return any(b.isupper() and a.islower() and not (a.isascii() and b.isascii()) for a, b in zip(token, token[1:], strict=False))
+
+
 def is_quoted_ascii(token: str) -> bool:
     """Is all that is not ASCII in the token punctuation around it?"""
     return token.strip(_EDGES).isascii()
@@ -403,6 +408,7 @@ class Looker:
 
     def __init__(self, models: Models):
         self.models = models
+        self.by_pair = np.ascontiguousarray(models.ratios.T)  # one row of all chains for each pair is read faster
         self.known: dict[str, bool] = {}
 
     def look(self, wanted: Iterable[str]) -> dict[str, bool]:
@@ -423,7 +429,7 @@ class Looker:
             edges = np.concatenate(([0], np.cumsum([len(x) for x in pairs_of[:-1]]))).astype(np.int64)
             strange = np.add.reduceat(self.models.first[flat], edges) >= TOKEN_EVIDENCE
             if len(self.models.chains):
-                likelier = np.add.reduceat(self.models.ratios[:, flat], edges, axis=1).max(axis=0) >= CHAIN_EVIDENCE
+                likelier = np.add.reduceat(self.by_pair[flat], edges, axis=0).max(axis=1) >= CHAIN_EVIDENCE
                 strange |= likelier & [not is_quoted_ascii(t) for t in new[start : start + len(pairs_of)]]
             fresh.update(zip(new[start : start + len(pairs_of)], strange.tolist(), strict=True))
             start += len(pairs_of)
