@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from siltstone.functions import urls
 
 _RAW = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<template\b[^>]*>.*?</template\s*>"
+#: What follows a tag's name up to its end; a sign ">" in a quoted value does not end it.
+_ATTRS = r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+"""
+_ANY_TAG = r"<[a-zA-Z/!?]" + _ATTRS + ">"
+_START_TAG = r"<[a-zA-Z]" + _ATTRS + ">"
 _SCRIPTS = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>"
 
 # Character references that titles use.
@@ -47,7 +51,7 @@ def title(html: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text without tags, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(markup(html), r"<[^>]*>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(markup(html), _ANY_TAG, " "), r"\s+", " "))
 
 
 def base_url(html: Column, fallback: Column) -> Column:
@@ -56,58 +60,81 @@ def base_url(html: Column, fallback: Column) -> Column:
     return F.when(found == "", fallback).otherwise(urls.join(fallback, found))
 
 
+def _value(tag: Column, name: str) -> Column:
+    """Value of a start tag's attribute: quoted either way or bare; empty if it has none."""
+    found = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.trim(F.regexp_replace(found, r"""^["']|["']$""", ""))
+
+
 def hrefs(html: Column) -> Column:
     """Raw href values of all a elements, in order."""
     quoted = F.regexp_extract_all(markup(html), F.lit(r"(?is)<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'[^']*'|[^\s>]*)"), F.lit(0))
     return F.transform(quoted, lambda x: F.regexp_replace(F.regexp_replace(x, r"(?is)^<a\s[^>]*?\bhref\s*=\s*", ""), r"^[\"']|[\"']$", ""))
 
 
+def links(html: Column, address: Column) -> Column:
+    """Sorted distinct normalised http(s) links of a page, resolved against its base tag or else its own address."""
+    base = base_url(html, F.trim(address))
+    absolute = F.transform(F.filter(hrefs(html), lambda x: F.trim(x) != ""), lambda x: urls.join(base, x))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(absolute, urls.is_safe_scheme), urls.normalize)))
+
+
 def assets(html: Column, base: Column) -> Column:
-    """Sorted distinct absolute addresses of images, style sheets and scripts; any scheme."""
+    """Sorted distinct absolute addresses of images, style sheets and scripts, in any notation of attributes; any scheme."""
     page = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
-    images = F.regexp_extract_all(page, F.lit(r"(?is)<img\s[^>]*?\bsrc\s*=\s*\"([^\"]*)\""), F.lit(1))
-    scripts = F.regexp_extract_all(page, F.lit(r"(?is)<script\s[^>]*?\bsrc\s*=\s*\"([^\"]*)\""), F.lit(1))
-    sheets = F.transform(
-        F.filter(F.regexp_extract_all(page, F.lit(r"(?is)<link\s[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']stylesheet[\"']")),
-        lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*\"([^\"]*)\"", 1),
-    )
-    found = F.filter(F.concat(images, scripts, sheets), lambda x: F.trim(x) != "")
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: urls.join(base, x))))
+    tags = F.regexp_extract_all(page, F.lit(r"(?is)<(?:img|script|link)\s" + _ATTRS + ">"), F.lit(0))
+    sheets = F.filter(tags, lambda x: x.rlike(r"(?i)^<link") & (F.lower(_value(x, "rel")) == "stylesheet"))
+    found = F.concat(F.transform(F.filter(tags, lambda x: ~x.rlike(r"(?i)^<link")), lambda x: _value(x, "src")), F.transform(sheets, lambda x: _value(x, "href")))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), lambda x: urls.join(base, x))))
 
 
 def with_quality(rows: DataFrame, html: str = "html") -> DataFrame:
     """``rows`` with a struct column q of :func:`quality`.
 
-    Generated columns are computed once, however often they are used: first the markup, then the counts.
+    Generated columns are computed once, however often they are used: first the markup, then its start tags, then the counts.
     """
     marked = rows.select("*", F.explode(F.array(markup(F.coalesce(F.col(html), F.lit(""))))).alias("_body"))
-    return marked.select("*", F.explode(F.array(quality(F.col(html), F.col("_body")))).alias("q")).drop("_body")
+    tagged = marked.select("*", F.explode(F.array(start_tags(F.col("_body")))).alias("_tags"))
+    return tagged.select("*", F.explode(F.array(quality(F.col(html), F.col("_body"), F.col("_tags")))).alias("q")).drop("_body", "_tags")
+
+
+def start_tags(body: Column) -> Column:
+    """All start tags of markup in one text, each behind the sign U+0001: counts then look at tags only."""
+    return F.concat(F.lit("\x01"), F.array_join(F.regexp_extract_all(body, F.lit(_START_TAG), F.lit(0)), "\x01"))
+
+
+def noscript_warning(html: Column) -> Column:
+    """Does a noscript element say that scripts are needed? The words must stand in one line."""
+    bodies = F.regexp_extract_all(html, F.lit(r"(?is)<noscript\b[^>]*>(.*?)(?:</noscript\s*>|$)"), F.lit(1))
+    return F.when(html.rlike("(?i)<noscript"), F.exists(bodies, lambda x: x.rlike(NOSCRIPT))).otherwise(F.lit(False))
 
 
-def quality(html: Column, body: Column | None = None) -> Column:
-    """Struct of content counts and framework marks; blank html gives zeros. ``body`` is the html's markup, if it is known."""
+def quality(html: Column, body: Column | None = None, tags: Column | None = None) -> Column:
+    """Struct of content counts and framework marks; blank html gives zeros. ``body`` is the html's markup, ``tags`` its start tags, if they are known."""
     page = F.coalesce(html, F.lit(""))
-    visible = visible_text(page) if body is None else F.trim(F.regexp_replace(F.regexp_replace(body, r"<[^>]*>", " "), r"\s+", " "))
     body = markup(page) if body is None else body
+    tags = start_tags(body) if tags is None else tags
+    visible = F.trim(F.regexp_replace(F.regexp_replace(body, _ANY_TAG, " "), r"\s+", " "))
 
     def count(pattern: str) -> Column:
-        return F.regexp_count(body, F.lit(pattern)).cast("int")
+        return F.regexp_count(tags, F.lit("(?i)\x01<" + pattern)).cast("int")
 
     return F.struct(
         F.length(visible).alias("text_length"),
-        count(r"(?i)<a\s[^>]*href").alias("link_count"),
-        count(r"(?i)<h[1-6]\b").alias("heading_count"),
-        count(r"(?i)<p\b").alias("paragraph_count"),
-        (body.rlike(r"(?i)<main\b") | body.rlike(r"(?i)\brole\s*=\s*[\"']main[\"']")).alias("has_main_content"),
-        body.rlike(r"(?i)<article\b").alias("has_article"),
+        count(r"a\s(?:[^\x01]*[\s\"'/])?href[\s=>]").alias("link_count"),
+        count(r"h[1-6][\s/>]").alias("heading_count"),
+        count(r"p[\s/>]").alias("paragraph_count"),
+        tags.rlike(r"(?i)\x01<main[\s/>]|\srole\s*=\s*[\"']?main[\"'\s/>]").alias("has_main_content"),
+        tags.rlike(r"(?i)\x01<article[\s/>]").alias("has_article"),
         F.substring(page, 1, LOADING_CHARS).rlike(LOADING).alias("has_loading_indicators"),
-        page.rlike(NOSCRIPT).alias("has_noscript_warning"),
-        body.rlike(r"(?i)\bid\s*=\s*[\"'](?:root|__next)[\"']|data-reactroot").alias("has_react_root"),
-        body.rlike(r"(?i)data-v-app").alias("has_vue_app"),
-        body.rlike(r"(?i)\bng-version|\b_ngcontent-").alias("has_angular_app"),
+        noscript_warning(page).alias("has_noscript_warning"),
+        tags.rlike(r"(?i)\sid\s*=\s*[\"']?(?:root|__next)[\"'\s/>]|\sdata-reactroot[\s=/>]").alias("has_react_root"),
+        tags.rlike(r"(?i)\sdata-v-app[\s=/>]").alias("has_vue_app"),
+        tags.rlike(r"(?i)\sng-version[\s=/>]|\s_ngcontent-[\s=/>]").alias("has_angular_app"),
     )
 
 
+# The limits of the next two functions.
 def needs_js(q: Column) -> Column:
     """Does the page wait for scripts?"""
     framework = q["has_react_root"] | q["has_vue_app"] | q["has_angular_app"]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import pages as html
 from siltstone.functions import urls
 from siltstone.operators.rules import Rules, follow, is_html
-from siltstone.plans.lineage import cut
+from siltstone.plans.lineage import cut, fixed_partitioning
+from siltstone.plans.order import numbered
 
 
 def edges_of(results: DataFrame) -> DataFrame:
@@ -17,31 +18,65 @@ def edges_of(results: DataFrame) -> DataFrame:
     return rows.where(urls.is_safe_scheme(F.col("link"))).select("src", urls.normalize(F.col("link")).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
 
-def breadth_first(seeds: DataFrame, edges: DataFrame, depth_limit: int) -> DataFrame:
-    """(url, depth, parent) of all that ``seeds(url)`` reach over ``edges(src, dst)`` within the depth: the least depth, and of its parents the least.
+def breadth_first(seeds: DataFrame, edges: DataFrame, depth_limit: int | None = None) -> DataFrame:
+    """(url, depth, parent) of all that ``seeds(url)`` reach over ``edges(src, dst)``: the least depth, and of its parents the least.
 
-    Each level is one join on the frontier and one anti-join on what was seen;
-    levels are kept in the checkpoint folder, so plans do not grow with depth.
+    Without a limit levels go on until one is empty. Edges and every level are
+    partitioned by address once and kept in the checkpoint folder, so a level
+    shuffles only what it finds, never the edges or what was seen, and plans
+    do not grow with depth.
     """
-    frontier = cut(seeds.where("url IS NOT NULL").select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
-    seen = frontier
-    for depth in range(1, depth_limit + 1):
-        found = frontier.select(F.col("url").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("parent"))
-        frontier = cut(found.join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"), "parent"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
+    spark = seeds.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with fixed_partitioning(spark):
+        edges = cut(edges.select("src", "dst").repartition(parts, "src"))
+        first = seeds.where("url IS NOT NULL").select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
+        frontier = seen = cut(first.repartition(parts, "url"))
+        depth = 0
+        while depth_limit is None or depth < depth_limit:
+            depth += 1
+            found = frontier.select(F.col("url").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("url")).agg(F.min("src").alias("parent"))
+            frontier = cut(found.join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"), "parent"))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
     return seen
 
 
+def seeds_of(starts: DataFrame | None = None, queue: DataFrame | None = None, sitemap: DataFrame | None = None) -> DataFrame:
+    """Frontier (url, parent) of start addresses ``starts(url)``, a saved queue ``queue(url, parent_url)`` and sitemap addresses ``sitemap(url)``.
+
+    Each normalised address once; a parent that the queue knows is kept. Blank and NULL addresses give nothing.
+    """
+    parts = [x.select(urls.normalize(F.col("url")).alias("url"), F.lit(None).cast("string").alias("parent")) for x in (starts, sitemap) if x is not None]
+    if queue is not None:
+        parts.append(queue.select(urls.normalize(F.col("url")).alias("url"), F.col("parent_url").alias("parent")))
+    if not parts:
+        raise ValueError("no source of addresses")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.where("url IS NOT NULL").groupBy("url").agg(F.min("parent").alias("parent"))
+
+
 def crawl(results: DataFrame, seeds: DataFrame, rules: Rules, max_pages: int | None = None) -> DataFrame:
     """Pages reached from the seeds by links that the rules follow; exact limit in order of (depth, url)."""
     edges = edges_of(results)
-    edges = cut(edges.where(follow(F.col("dst"), rules)))  # read on every level
-    reached = breadth_first(seeds.select(urls.normalize(F.col("url")).alias("url")), edges, rules.depth_limit if rules.depth_limit is not None else 50)
+    edges = edges.where(follow(F.col("dst"), rules))
+    reached = breadth_first(seeds.select(urls.normalize(F.col("url")).alias("url")), edges, rules.depth_limit)
     return reached.orderBy("depth", "url").limit(max_pages) if max_pages is not None else reached
 
 
+def unvisited(results: DataFrame, frontier: DataFrame, checkpoint: DataFrame, now: Column, max_age_days: int | None, least_points: int = 30) -> DataFrame:
+    """The scan router: fetched pages of ``frontier(url)`` that the checkpoint does not hold fresh, each with the route it goes by.
+
+    (result_id, host, route) as of :func:`routes`, over both routes together.
+    """
+    wanted = not_checkpointed(frontier.select("url").distinct(), checkpoint, now, max_age_days)
+    own = results.withColumn("_at", urls.normalize(F.col("url"))).join(wanted.select(F.col("url").alias("_at")), "_at", "left_semi").drop("_at")
+    return routes(own, least_points)
+
+
 def not_checkpointed(frontier: DataFrame, checkpoint: DataFrame, now: Column, max_age_days: int | None) -> DataFrame:
     """Frontier without what the checkpoint holds and is not older than ``max_age_days``; NULL keeps all that it holds out."""
     fresh = checkpoint if max_age_days is None else checkpoint.where(F.col("last_scraped") >= now - F.expr(f"interval {max_age_days} days"))
@@ -69,9 +104,5 @@ def fetched_pages(results: DataFrame) -> DataFrame:
 
 
 def queue_positions(frontier: DataFrame) -> DataFrame:
-    """(position, url, parent) from 0, in order of (depth, url): parts are ordered by range and numbered by their offsets."""
-    ordered = frontier.repartitionByRange("depth", "url").sortWithinPartitions("depth", "url").select("url", "parent", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    ordered = cut(ordered)
-    sizes = ordered.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("first"))
-    offsets = sizes.select("p", "first", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("offset"))
-    return ordered.join(F.broadcast(offsets), "p").select((F.col("offset") + F.col("m") - F.col("first")).alias("position"), "url", "parent")
+    """(position, url, parent) from 0, in order of (depth, url)."""
+    return numbered(frontier.select("depth", "url", "parent"), "depth", "url").select(F.col("number").alias("position"), "url", "parent")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import pages, paths, urls
@@ -72,3 +72,42 @@ def status_rollup(results: DataFrame) -> DataFrame:
     """Fetches by month and status, with sums of months and of all."""
     rows = results.select(F.date_format("fetched_at", "yyyy-MM").alias("month"), F.col("status_code").cast("string").alias("status"))
     return rows.rollup("month", "status").agg(F.count("*").alias("fetches"), F.grouping_id().alias("level"))
+
+
+def saved_path_collisions(checkpoint: DataFrame) -> DataFrame:
+    """(path, pages): saved files that several distinct pages of ``checkpoint(url, file_path)`` claim."""
+    own = checkpoint.where("url IS NOT NULL AND file_path IS NOT NULL").select(urls.normalised_address(F.col("url"))["url"].alias("url"), F.col("file_path").alias("path")).distinct()
+    return own.groupBy("path").agg(F.count("*").alias("pages")).where("pages > 1")
+
+
+def preview_totals(previewed: DataFrame) -> DataFrame:
+    """One row (pages, assets, paths) of what :func:`preview` lists."""
+    return previewed.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.col("asset_count").cast("long")), F.lit(0)).alias("assets"), F.count_distinct("output_path").alias("paths"))
+
+
+def preview_document(previewed: DataFrame) -> DataFrame:
+    """(line) JSON of each previewed page, to be written as text."""
+    return previewed.select(F.to_json(F.struct("url", "output_path", "title", "asset_count")).alias("line"))
+
+
+def size_text(size: Column) -> Column:
+    """Size as people read it: KB below a tenth of a megabyte, else MB."""
+    mb = size / 1048576
+    return F.when(mb < 0.1, F.concat(F.format_number(size / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(mb, 1), F.lit(" MB")))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """Counters of a crawl with its length, pages a second and size; a crawl of no length has no rate."""
+    span = results.agg(((F.max(F.unix_micros("fetched_at")) - F.min(F.unix_micros("fetched_at"))) / 1e6).alias("seconds"))
+    joined = crawl_stats(results).crossJoin(span)  # one row with one row
+    return joined.select("pages_crawled", "pages_failed", "total_bytes", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), F.try_divide(F.col("pages_crawled"), F.col("seconds")).alias("pages_per_second"), size_text(F.col("total_bytes")).alias("size"))
+
+
+def page_count(checkpoint: DataFrame) -> DataFrame:
+    """One row (pages): distinct normalised addresses of a saved state."""
+    return checkpoint.agg(F.count_distinct(urls.normalize(F.col("url"))).alias("pages"))
+
+
+def ordered_pages(checkpoint: DataFrame) -> DataFrame:
+    """Saved pages in order of address, then time: ordered by ranges, never in one task."""
+    return checkpoint.where("url IS NOT NULL").orderBy("url", "last_scraped")

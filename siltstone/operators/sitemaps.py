@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import urls
+from siltstone.plans.order import numbered
 
 # Change frequencies of the sitemap protocol.
 CHANGE_FREQUENCIES = ("always", "hourly", "daily", "weekly", "monthly", "yearly", "never")
@@ -34,30 +41,59 @@ def parse(documents: DataFrame, element: str = "url") -> DataFrame:
     )
 
 
-def valid(entries: DataFrame) -> DataFrame:
-    """Entries with a location; frequency and priority NULL where they are not valid."""
+def valid(entries: DataFrame, *columns: str) -> DataFrame:
+    """Entries with a location; frequency and priority NULL where they are not valid. ``columns`` are kept as they are."""
     return entries.where("loc IS NOT NULL AND trim(loc) <> ''").select(
         F.trim("loc").alias("loc"),
         "lastmod",
         F.when(F.lower("changefreq").isin(*CHANGE_FREQUENCIES), F.lower("changefreq")).alias("changefreq"),
         F.when(F.col("priority").between(0, 1), F.col("priority")).alias("priority"),
+        *columns,
     )
 
 
-def resolve_index(documents: DataFrame, roots: DataFrame, depth_limit: int = 10) -> DataFrame:
-    """Sitemaps (source, depth) reached from ``roots(source)`` through index files; a cycle is visited once."""
+def strict(entries: DataFrame) -> DataFrame:
+    """``entries`` as read by :func:`parse` from all of a table; a document without an entry that can be read is an error when it is reached."""
+    return entries.withColumn("loc", F.coalesce(F.nullif(F.trim("loc"), F.lit("")), F.raise_error(F.lit("sitemap entry without location")).cast("string")))
+
+
+def decompressed(documents: DataFrame) -> DataFrame:
+    """(source, xml) of ``documents(source, content)`` with raw bytes: those whose address ends in .gz are unpacked, and stay as they are if that fails."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for source, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if content is not None and source and urlsplit(source).path.endswith(".gz"):
+                    try:
+                        content = gzip.decompress(content)
+                    except (OSError, EOFError, zlib.error):
+                        pass
+                texts.append(None if content is None else content.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["source", "xml"])
+
+    return documents.select("source", F.col("content").cast("binary")).mapInArrow(unpack, "source string, xml string")
+
+
+def resolve_index(documents: DataFrame, roots: DataFrame, depth_limit: int | None = None) -> DataFrame:
+    """Sitemaps (source, depth) reached from ``roots(source)`` through index files, at any depth unless one is given; a cycle is visited once."""
     from siltstone.operators.crawl import breadth_first
 
     edges = parse(documents, "sitemap").select(F.col("source").alias("src"), F.col("loc").alias("dst")).distinct()
     return breadth_first(roots.select(F.col("source").alias("url")), edges, depth_limit).select(F.col("url").alias("source"), "depth")
 
 
-def load(entries: DataFrame, max_urls: int | None = None) -> DataFrame:
-    """(url, priority) to visit: by priority (missing counts as 0.5), limited before repeats are dropped, each normalised url once with its best."""
-    own = valid(entries).select(F.coalesce("priority", F.lit(0.5)).alias("priority"), "loc")
+def load(entries: DataFrame, max_urls: int | None = None, position: str | None = None) -> DataFrame:
+    """(url, priority, place) to visit, place from 0: by priority (missing counts as 0.5, the greatest first) and then by ``position``.
+
+    The limit comes before repeats are dropped; each normalised url stands where it stands first. Without a column of positions the location decides ties.
+    """
+    order = F.col(position) if position else F.col("loc")
+    own = valid(entries.withColumn("_pos", order), "_pos").select(F.coalesce("priority", F.lit(0.5)).alias("priority"), "loc", "_pos")
     if max_urls is not None:
-        own = own.orderBy(F.col("priority").desc(), "loc").limit(max_urls)
-    return own.groupBy(urls.normalize(F.col("loc")).alias("url")).agg(F.max("priority").alias("priority"))
+        own = own.orderBy(F.col("priority").desc(), "_pos", "loc").limit(max_urls)
+    best = own.groupBy(urls.normalize(F.col("loc")).alias("url")).agg(F.min(F.struct((-F.col("priority")).alias("k"), "_pos", "loc")).alias("first"))
+    return numbered(best.select("url", (-F.col("first.k")).alias("priority"), "first"), "first").select("url", "priority", F.col("number").alias("place"))
 
 
 def discover(robots: DataFrame) -> DataFrame:

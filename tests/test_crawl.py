@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import markdown, pages
@@ -88,7 +89,7 @@ def test_sitemap_index_and_load(spark):
     found = sitemaps.resolve_index(spark.createDataFrame([("a", index), ("b", SITEMAP)], "source string, xml string"), spark.createDataFrame([("a",)], "source string"))
     assert {(r["source"], r["depth"]) for r in found.collect()} == {("a", 0), ("b", 1)}
     entries = spark.createDataFrame([("http://A.example/x", None, "daily", 0.2), ("http://a.example/x", None, None, None), (None, None, None, 1.0)], "loc string, lastmod timestamp, changefreq string, priority double")
-    assert [tuple(r) for r in sitemaps.load(entries).collect()] == [("http://a.example/x", 0.5)]
+    assert [tuple(r) for r in sitemaps.load(entries).collect()] == [("http://a.example/x", 0.5, 0)]
 
 
 def test_quality(spark):
@@ -105,12 +106,20 @@ def test_quality(spark):
 
 def test_markdown():
     html = "<nav><a href='/x'>menu</a></nav><h1>T &amp; U</h1><p>a <b>bold</b> <a href='/l'>link</a><p>c<ul><li>one<li>two</ul><pre><code>x\n y</code></pre><table><tr><th>h<td>v</table><script>no</script>"
-    tree = markdown.select(markdown.parse(html), [], ["nav"])
-    text = markdown.to_markdown(tree)
+    text = markdown.to_markdown(html, [], [markdown.selector("nav")])
     assert text == "# T & U\n\na **bold** [link](/l)\n\nc\n\n- one\n- two\n\n```\nx\n y\n```\n\n| h | v |\n| --- | --- |\n"
-    kept = markdown.select(markdown.parse("<div class='a b'><p id=p1>x</p></div><p>y</p>"), ["div.a p[id=p1]"], [])
-    assert markdown.to_markdown(kept) == "x\n"
-    assert markdown.to_markdown(markdown.select(markdown.parse("<p>x</p>"), [".none"], [])) == "\n"
+    assert markdown.to_markdown("<div class='a b'><p id=p1>x</p></div><p>y</p>", [markdown.selector("div.a p[id=p1]")]) == "x\n"
+    assert markdown.to_markdown("<p>x</p>", [markdown.selector(".none")]) == "\n"
+    assert markdown.to_markdown("<main><p>a</p><div><p>b</p></div></main>", [markdown.selector("main > p")]) == "a\n"
+    assert markdown.to_markdown("<main><p>a</p><div><p>b</p></div></main>", [markdown.selector("main p, h1")]) == "a\n\nb\n"
+
+
+def test_markdown_of_nested_and_broken_markup():
+    text = markdown.to_markdown("<ul><li>a<ul><li>b<li>c</ul><li><p>d<p>e</ul><blockquote><p>q<p>r</blockquote>t <b>x <i>y</i></b><ol><li>1<li>2</ol><p><b>open<p>still</b> end<pre class='language-py'>k</pre><p>cut <a hr")
+    assert text == "- a\n  - b\n  - c\n- d\n\n  e\n\n> q\n>\n> r\n\nt **x *y***\n\n1. 1\n2. 2\n\n**open**\n\n**still** end\n\n```py\nk\n```\n\ncut\n"
+    assert markdown.to_markdown("<div>" * 30_000 + "deep" + "</div>" * 30_000) == "deep\n"
+    with pytest.raises(ValueError):
+        markdown.selector("a + b")
 
 
 def test_markdown_cleaning(spark):
