@@ -98,9 +98,12 @@ def size_text(size: Column) -> Column:
 
 def summary(results: DataFrame) -> DataFrame:
     """Counters of a crawl with its length, pages a second and size; a crawl of no length has no rate."""
-    span = results.agg(((F.max(F.unix_micros("fetched_at")) - F.min(F.unix_micros("fetched_at"))) / 1e6).alias("seconds"))
-    joined = crawl_stats(results).crossJoin(span)  # one row with one row
-    return joined.select("pages_crawled", "pages_failed", "total_bytes", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), F.try_divide(F.col("pages_crawled"), F.col("seconds")).alias("pages_per_second"), size_text(F.col("total_bytes")).alias("size"))
+    span = (F.max(F.unix_micros("fetched_at")) - F.min(F.unix_micros("fetched_at"))) / 1e6
+    done = F.count_if((F.col("status_code") < 400) & (F.col("status_code") != 304))
+    size = F.coalesce(F.sum(F.octet_length("html")), F.lit(0))
+    return results.agg(
+        done.alias("pages_crawled"), F.count_if(F.col("status_code") >= 400).alias("pages_failed"), size.alias("total_bytes"), F.coalesce(span, F.lit(0.0)).alias("seconds"), F.try_divide(done, span).alias("pages_per_second"), size_text(size).alias("size")
+    )
 
 
 def page_count(checkpoint: DataFrame) -> DataFrame:

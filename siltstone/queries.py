@@ -135,21 +135,40 @@ def html_quality(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("result_id", "q.*", pages.needs_js(F.col("q")).alias("needs_js"), pages.quality_points(F.col("q")).alias("points"))
 
 
+_TAG_SQL = "'<[a-zA-Z](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>'"
+_ANY_TAG_SQL = "'<[a-zA-Z/!?](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>'"
+
+
+def _tags(names: str) -> str:
+    """SQL: start tags with one of the names."""
+    return f"list_filter(tags, lambda t: list_contains({names.split()!r}, lower(regexp_extract(t, '^<([a-zA-Z0-9-]+)', 1))))"
+
+
+def _some_tag(test: str) -> str:
+    """SQL: is there a start tag that fits the test?"""
+    return f"len(list_filter(tags, lambda t: {test})) > 0"
+
+
+#: A tag without its quoted values, and a tag with all its quotes double.
+_BARE = "regexp_replace(lower(t), '\"[^\"]*\"|''[^'']*''', '\"\"', 'g')"
+_QUOTED = "replace(lower(t), '''', '\"')"
+_NOTICES = ("%javascript%required%", "%enable%javascript%", "%javascript%disabled%", "%browser%not%support%", "%please%enable%js%")
 QUALITY_SQL = f"""
-WITH b AS (SELECT result_id, coalesce(html, '') AS page, {_BODY_SQL} AS body FROM crawl_results), q AS (
+WITH b AS (SELECT result_id, coalesce(html, '') AS page, {_BODY_SQL} AS body FROM crawl_results),
+t AS (SELECT *, regexp_extract_all(body, {_TAG_SQL}) AS tags FROM b), q AS (
   SELECT result_id,
-    CAST(length(trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS INTEGER) AS text_length,
-    CAST(len(regexp_extract_all(body, '(?i)<a\\s[^>]*href')) AS INTEGER) AS link_count,
-    CAST(len(regexp_extract_all(body, '(?i)<h[1-6]\\b')) AS INTEGER) AS heading_count,
-    CAST(len(regexp_extract_all(body, '(?i)<p\\b')) AS INTEGER) AS paragraph_count,
-    regexp_matches(body, '(?i)<main\\b') OR regexp_matches(body, '(?i)\\brole\\s*=\\s*["'']main["'']') AS has_main_content,
-    regexp_matches(body, '(?i)<article\\b') AS has_article,
-    regexp_matches(substring(page, 1, 5000), '(?i)loading\\.{{0,3}}|please wait|spinner|skeleton|initializing|fetching') AS has_loading_indicators,
-    regexp_matches(page, '(?i)javascript.*required|enable.*javascript|javascript.*disabled|browser.*not.*support|please.*enable.*js') AS has_noscript_warning,
-    regexp_matches(body, '(?i)\\bid\\s*=\\s*["''](?:root|__next)["'']|data-reactroot') AS has_react_root,
-    regexp_matches(body, '(?i)data-v-app') AS has_vue_app,
-    regexp_matches(body, '(?i)\\bng-version|\\b_ngcontent-') AS has_angular_app
-  FROM b)
+    CAST(length(trim(regexp_replace(regexp_replace(body, {_ANY_TAG_SQL}, ' ', 'g'), '\\s+', ' ', 'g'))) AS INTEGER) AS text_length,
+    CAST(len(list_filter({_tags('a')}, lambda t: regexp_matches({_BARE}, '\\shref[\\s=>]'))) AS INTEGER) AS link_count,
+    CAST(len({_tags('h1 h2 h3 h4 h5 h6')}) AS INTEGER) AS heading_count,
+    CAST(len({_tags('p')}) AS INTEGER) AS paragraph_count,
+    len({_tags('main')}) > 0 OR {_some_tag("contains(" + _QUOTED + ", ' role=\"main\"')")} AS has_main_content,
+    len({_tags('article')}) > 0 AS has_article,
+    len(list_filter(['loading', 'please wait', 'spinner', 'skeleton', 'initializing', 'fetching'], lambda w: contains(lower(substring(page, 1, 5000)), w))) > 0 AS has_loading_indicators,
+    len(list_filter(string_split(lower(page), '<noscript')[2:], lambda s: len(list_filter(string_split(split_part(s, '</noscript', 1), chr(10)), lambda l: {' OR '.join(f"l LIKE '{n}'" for n in _NOTICES)})) > 0)) > 0 AS has_noscript_warning,
+    {_some_tag("contains(" + _QUOTED + ", ' id=\"root\"') OR contains(" + _QUOTED + ", ' id=\"__next\"') OR regexp_matches(" + _BARE + ", '\\sid=(root|__next)[\\s>]|\\sdata-reactroot[\\s=/>]')")} AS has_react_root,
+    {_some_tag("regexp_matches(" + _BARE + ", '\\sdata-v-app[\\s=/>]')")} AS has_vue_app,
+    {_some_tag("regexp_matches(" + _BARE + ", '\\s(ng-version|_ngcontent-)[\\s=/>]')")} AS has_angular_app
+  FROM t)
 SELECT *, has_noscript_warning OR (has_loading_indicators AND text_length < 500) OR ((has_react_root OR has_vue_app OR has_angular_app) AND text_length < 300 AND paragraph_count < 2)
     OR (text_length < 100 AND link_count < 3 AND heading_count = 0) AS needs_js,
   CAST(CASE WHEN text_length >= 2000 THEN 40 WHEN text_length >= 500 THEN 30 WHEN text_length >= 100 THEN 10 ELSE 0 END
@@ -282,7 +301,9 @@ def report_hosts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_collisions(spark: SparkSession, folder: str) -> DataFrame:
-    return reports.path_collisions(table(spark, folder, "crawl_results"))
+    """Paths that several pages would share if only the first folder counted."""
+    rows = table(spark, folder, "crawl_results").select(F.regexp_replace("url", r"^(https?://[^/]+/[^/]+/).*$", "$1").alias("url"))
+    return reports.path_collisions(rows)
 
 
 def _file(u: str) -> str:
@@ -326,20 +347,25 @@ def markdown_convert(spark: SparkSession, folder: str) -> DataFrame:
 def markdown_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links and code blocks of the Markdown documents."""
     text = F.col("text")
-    return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.size(F.regexp_extract_all(text, F.lit(r"\[[^\]]+\]\(([^)]+)\)"), F.lit(1))).alias("links"), F.array_join(markdown.code_languages(text), ",").alias("languages"))
+    return table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.size(markdown.link_targets(text)).alias("links"), F.size(markdown.image_targets(text)).alias("images"), F.array_join(markdown.code_languages(text), ",").alias("languages"))
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events as a stream; the pattern lets the table be one file or a folder of files."""
+    return spark.readStream.schema(table(spark, folder, "events").schema).parquet(f"{folder}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
-    rows = pipeline.tumbling_counts(table(spark, folder, "events"))
+    rows = pipeline.run_to_end(pipeline.tumbling_counts(_events(spark, folder)))
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "events", F.round("total", 4).alias("total"))
 
 
 def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
-    return pipeline.sliding_counts(table(spark, folder, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "events")
+    return pipeline.run_to_end(pipeline.sliding_counts(_events(spark, folder))).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "events")
 
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return pipeline.sessions(table(spark, folder, "events")).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("longest"))
+    return pipeline.run_to_end(pipeline.sessions(_events(spark, folder))).groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("events").alias("longest"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -367,6 +393,12 @@ _HREFS = f"""SELECT result_id, trim(final_url) AS base, trim(regexp_replace(rege
     FROM crawl_results WHERE html <> '' AND final_url IS NOT NULL"""
 
 
+def _attribute(name: str) -> str:
+    """SQL: value of a tag's attribute in any notation, its first."""
+    x = f"regexp_extract(t, '(?i)[\\s\"''/]{name}\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s\"''>]+)', 1)"
+    return f"trim(CASE WHEN starts_with({x}, '\"') OR starts_with({x}, '''') THEN substr({x}, 2, length({x}) - 2) ELSE {x} END)"
+
+
 def oracle_sql() -> dict[str, str]:
     address, host = _address, _host
     return {
@@ -390,11 +422,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT result_id, regexp_replace(regexp_replace(unnest(regexp_extract_all({_BODY_SQL}, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*(?:"[^"]*"|''[^'']*''|[^\\s>]*)')), '(?is)^<a\\s[^>]*?\\bhref\\s*=\\s*', ''), '^["'']|["'']$', '', 'g') AS href
             FROM crawl_results WHERE html <> '') GROUP BY result_id""",
         "html_resolved_links": f"SELECT DISTINCT result_id, {_norm('u')} AS link FROM (SELECT result_id, {_join('base', 'href')} AS u FROM ({_HREFS}) WHERE href <> '') WHERE regexp_matches(u, '^[hH][tT][tT][pP][sS]?:')",
-        "html_assets": f"""SELECT DISTINCT result_id, {_join('base', 'src')} AS asset FROM (
-            SELECT result_id, trim(final_url) AS base, unnest(regexp_extract_all(p, '(?is)<img\\s[^>]*?\\bsrc\\s*=\\s*"([^"]*)"', 1)) AS src FROM (SELECT *, regexp_replace(html, '(?is)<!--.*?-->', '', 'g') AS p FROM crawl_results WHERE html <> '' AND final_url IS NOT NULL)
-            UNION ALL SELECT result_id, trim(final_url), unnest(regexp_extract_all(p, '(?is)<script\\s[^>]*?\\bsrc\\s*=\\s*"([^"]*)"', 1)) FROM (SELECT *, regexp_replace(html, '(?is)<!--.*?-->', '', 'g') AS p FROM crawl_results WHERE html <> '' AND final_url IS NOT NULL)
-            UNION ALL SELECT result_id, base, regexp_extract(tag, '(?is)\\bhref\\s*=\\s*"([^"]*)"', 1) FROM (SELECT result_id, trim(final_url) AS base, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<link\\s[^>]*>')) AS tag FROM crawl_results WHERE html <> '' AND final_url IS NOT NULL) WHERE regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']stylesheet["'']')
-            ) WHERE trim(src) <> ''""",
+        "html_assets": f"""WITH t AS (SELECT result_id, trim(final_url) AS base, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)<(?:img|script|link)\\s(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS t FROM crawl_results WHERE html <> '' AND final_url IS NOT NULL),
+            v AS (SELECT result_id, base, lower(regexp_extract(t, '^<([a-zA-Z]+)', 1)) AS tag, {_attribute('src')} AS src, {_attribute('href')} AS href, {_attribute('rel')} AS rel FROM t),
+            a AS (SELECT result_id, base, CASE WHEN tag = 'link' THEN href ELSE src END AS src FROM v WHERE tag <> 'link' OR lower(rel) = 'stylesheet')
+            SELECT DISTINCT result_id, {_join('base', 'src')} AS asset FROM a WHERE src <> ''""",
         "html_without_scripts": "SELECT result_id, sha256(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<noscript\\b[^>]*>.*?</noscript\\s*>', '', 'g')) AS hash FROM crawl_results WHERE html <> ''",
         "markdown_clean": r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(l, '\n{3,}', chr(10) || chr(10), 'g'), '\s+$', '') || chr(10)) AS hash,
             nullif(regexp_replace(trim(regexp_extract(regexp_extract(replace(text, chr(13) || chr(10), chr(10)), '(?s)^---\n(.*?)\n---\n', 1), '(?m)^title:[ ]*(.*)$', 1)), '^["'']|["'']$', '', 'g'), '') AS title
@@ -418,16 +449,18 @@ def oracle_sql() -> dict[str, str]:
         "report_assets": f"SELECT {_ASSET_SQL} AS asset_type, count(DISTINCT u) AS assets, count(*) AS uses FROM (SELECT unnest(assets) AS u FROM crawl_results) GROUP BY 1",
         "report_hosts": f"""SELECT {host('url')} AS host, count(*) AS fetches, count(DISTINCT {address('url')}) AS pages, CAST(coalesce(sum(octet_length(encode(html))), 0) AS BIGINT) AS bytes,
             round(sum(octet_length(encode(html))) / CAST(count(html) AS DOUBLE), 3) AS mean_bytes, count(*) FILTER (status_code >= 400) AS failed FROM crawl_results GROUP BY 1""",
-        "report_collisions": f"SELECT {_file('url')} AS path, count(*) AS pages FROM (SELECT DISTINCT {address('url')} AS url FROM crawl_results WHERE url IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
+        "report_collisions": f"SELECT {_file('url')} AS path, count(*) AS pages FROM (SELECT DISTINCT {address('url')} AS url FROM (SELECT regexp_replace(url, '^(https?://[^/]+/[^/]+/).*$', '\\1') AS url FROM crawl_results) WHERE url IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
         "report_preview": f"SELECT result_id, url, {_file('url')} AS output_path, {_TITLE_SQL} AS title, CAST(coalesce(len(assets), 0) AS INTEGER) AS asset_count FROM crawl_results WHERE html <> ''",
         "report_rollup": """SELECT strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m') AS month, CAST(status_code AS VARCHAR) AS status, count(*) AS fetches,
             CAST(grouping(strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m'), CAST(status_code AS VARCHAR)) AS BIGINT) AS level FROM crawl_results
             GROUP BY ROLLUP (strftime(fetched_at AT TIME ZONE 'UTC', '%Y-%m'), CAST(status_code AS VARCHAR))""",
-        "sitemap_load": f"SELECT {_norm('loc')} AS url, max(coalesce(CASE WHEN priority BETWEEN 0 AND 1 THEN priority END, 0.5)) AS priority FROM (SELECT trim(loc) AS loc, priority FROM sitemap_entries WHERE loc IS NOT NULL AND trim(loc) <> '') GROUP BY 1",
+        "sitemap_load": f"""SELECT url, p AS priority, row_number() OVER (ORDER BY p DESC, pos, loc) - 1 AS place FROM (
+            SELECT *, row_number() OVER (PARTITION BY url ORDER BY p DESC, pos, loc) AS n FROM (
+            SELECT {_norm('trim(loc)')} AS url, trim(loc) AS loc, loc AS pos, coalesce(CASE WHEN priority BETWEEN 0 AND 1 THEN priority END, 0.5) AS p FROM sitemap_entries WHERE trim(loc) <> '')) WHERE n = 1""",
         "sitemap_freshness": f"""SELECT l.url AS url, CASE WHEN f.url IS NULL OR t IS NULL THEN 'missing' WHEN m > t THEN 'outdated' ELSE 'current' END AS state
             FROM (SELECT {address('trim(loc)')} AS url, max(lastmod) AS m FROM sitemap_entries WHERE loc IS NOT NULL AND trim(loc) <> '' GROUP BY 1) l
             LEFT JOIN (SELECT {address('url')} AS url, max(fetched_at) AS t FROM crawl_results GROUP BY 1) f ON f.url = l.url""",
-        "markdown_links": r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '\[[^\]]+\]\(([^)]+)\)')) AS INTEGER) AS links,
+        "markdown_links": r"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '!?\[[^\]]+\]\([^)]+\)'), lambda x: NOT starts_with(x, '!'))) AS INTEGER) AS links, CAST(len(regexp_extract_all(text, '!\[[^\]]*\]\([^)]+\)')) AS INTEGER) AS images,
             array_to_string(regexp_extract_all(text, '(?ms)^```(\w+)\n.*?^```', 1), ',') AS languages FROM documents WHERE text IS NOT NULL""",
         "stream_tumbling": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
         "stream_sliding": "SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(CAST(15 * k AS INTEGER)), '%Y-%m-%d %H:%M') AS start, count(*) AS events FROM events, range(4) r(k) WHERE ts IS NOT NULL GROUP BY 1",

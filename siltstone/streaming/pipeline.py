@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,11 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.functions import pages, paths, urls
 from siltstone.operators import state
+from siltstone.plans.lineage import ensure_checkpoint_dir
 
 
-def landing(spark: SparkSession, folder: str, schema, files_per_trigger: int = 100) -> DataFrame:
-    """Fetched pages as they land; the files of one trigger bound a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def landing(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = 100, bytes_per_trigger: str | None = None) -> DataFrame:
+    """Fetched pages as they land; the files or bytes of one trigger bound a batch (one of the two), which is what holds a fast producer back."""
+    source = spark.readStream.schema(schema)
+    source = source.option("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else source.option("maxFilesPerTrigger", files_per_trigger)
+    return source.parquet(folder)
 
 
 def saved_pages(results: DataFrame) -> DataFrame:
@@ -25,18 +29,65 @@ def saved_pages(results: DataFrame) -> DataFrame:
     )
 
 
-def upsert_into(stream: DataFrame, folder: str, checkpoint: str):
-    """Query that keeps the state table under ``folder``: each batch writes the next version, named by its number, so a repeated batch repeats its version."""
+def upsert_into(stream: DataFrame, folder: str, checkpoint: str, parts: int = 64):
+    """Query that keeps the state table under ``folder``, in ``parts`` parts by a hash of the address.
+
+    A batch reads and rewrites only the parts that it touches: each part has
+    versions named by the batch that wrote them, and a list of the current ones
+    is written last, under the batch's number. A repeated batch starts from the
+    list before it and writes the same versions again; what an unfinished batch
+    left is in no list. Versions that the two newest lists do not name are removed.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = state.latest(batch, "url", "last_scraped")
-        merged = new if number == 0 else state.upsert(spark.read.parquet(f"{folder}/v{number - 1}"), new)
-        merged.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        new = state.latest(batch, "url", "last_scraped").withColumn("_part", F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int")).persist()
+        touched = sorted(r[0] for r in new.select("_part").distinct().collect())
+        before = current_parts(spark, folder, number - 1)
+        old_paths = [f"{folder}/part={p}/v{before[p]}" for p in touched if p in before]
+        rows = new
+        if old_paths:
+            old = spark.read.parquet(*old_paths)
+            rows = state.upsert(old, new.drop("_part")).withColumn("_part", F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int"))
+        at = f"{folder}/batch-{number}"
+        rows.repartition("_part").write.mode("overwrite").partitionBy("_part").parquet(at)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path
+        system = path(folder).getFileSystem(conf)
+        for p in touched:
+            target = path(f"{folder}/part={p}/v{number}")
+            system.delete(target, True)
+            system.mkdirs(target.getParent())
+            system.rename(path(f"{at}/_part={p}"), target)
+        system.delete(path(at), True)
+        now = before | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "part int, version long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_list/v{number}")
+        # The list before stays, so a repeated batch can start from it; what only older lists name goes.
+        older = current_parts(spark, folder, number - 2)
+        for p in touched:
+            if p in older and older[p] != before.get(p):
+                system.delete(path(f"{folder}/part={p}/v{older[p]}"), True)
+        new.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def current_parts(spark: SparkSession, folder: str, number: int) -> dict[int, int]:
+    """Version of each part after batch ``number``; at most as many entries as there are parts."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_list/v{number}")
+    if number < 0 or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    return {r[0]: r[1] for r in spark.read.parquet(f"{folder}/_list/v{number}").collect()}
+
+
+def current_state(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """The state table after batch ``number``."""
+    found = current_parts(spark, folder, number)
+    if not found:
+        raise ValueError("no batch was finished")
+    return spark.read.parquet(*(f"{folder}/part={p}/v{v}" for p, v in sorted(found.items())))
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """Events and values by window and type, of batch or stream."""
     rows = events.withWatermark("ts", lateness) if events.isStreaming else events
@@ -86,21 +137,62 @@ def rate_limited(events: DataFrame, rate: float, burst: float) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, requests long, allowed long", "tokens double, last double", "update", GroupStateTimeout.NoTimeout)
 
 
-def adaptive_rate(statuses: list[tuple[int, float]], rate: float = 10.0, least: float = 0.5, most: float = 100.0) -> float:
+# Limits and factors of the adaptive rate.
+LEAST_RATE, MOST_RATE, START_RATE = 0.5, 100.0, 10.0
+REFUSED, OVERLOADED, FASTER, SLOWER = 0.5, 0.7, 1.1, 0.95
+FAST_SECONDS, SLOW_SECONDS, FAST_IN_A_ROW = 0.2, 2.0, 20
+
+
+def adaptive_step(status: int, seconds: float, rate: float, fast: int, least: float = LEAST_RATE, most: float = MOST_RATE) -> tuple[float, int]:
+    """(rate, fast answers in a row) after one more answer."""
+    if status == 429:
+        rate, fast = rate * REFUSED, 0
+    elif status == 503:
+        rate, fast = rate * OVERLOADED, 0
+    elif 200 <= status < 300 and seconds < FAST_SECONDS:
+        fast += 1
+        if fast >= FAST_IN_A_ROW:
+            rate, fast = rate * FASTER, 0
+    else:
+        fast = 0
+        if seconds > SLOW_SECONDS:
+            rate *= SLOWER
+    return min(most, max(least, rate)), fast
+
+
+def adaptive_rate(statuses: list[tuple[int, float]], rate: float = START_RATE, least: float = LEAST_RATE, most: float = MOST_RATE) -> float:
     """Rate after answers (status, seconds): halved by 429, 0.7 times by 503, a tenth more after 20 fast ones in a row, a twentieth less when slow."""
     fast = 0
     for status, seconds in statuses:
-        if status == 429:
-            rate, fast = rate * 0.5, 0
-        elif status == 503:
-            rate, fast = rate * 0.7, 0
-        elif 200 <= status < 300 and seconds < 0.2:
-            fast += 1
-            if fast >= 20:
-                rate, fast = rate * 1.1, 0
-        else:
-            fast = 0
-            if seconds > 2.0:
-                rate *= 0.95
-        rate = min(most, max(least, rate))
+        rate, fast = adaptive_step(status, seconds, rate, fast, least, most)
     return rate
+
+
+def adaptive_limits(answers: DataFrame) -> DataFrame:
+    """(host, answers, rate) of a stream ``answers(host, t, status, seconds)``: each host's rate, kept with its streak in the state store.
+
+    Answers of one batch are taken in order of time; NULL statuses and times count as failures without end.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        rate, fast, seen = kept.get if kept.exists else (START_RATE, 0, 0)
+        rows = pd.concat(list(frames)).sort_values(["t", "status"], kind="stable")
+        for status, seconds in zip(rows["status"].fillna(0), rows["seconds"].fillna(float("inf")), strict=True):
+            rate, fast = adaptive_step(int(status), float(seconds), rate, fast)
+        seen += len(rows)
+        kept.update((float(rate), int(fast), int(seen)))
+        yield pd.DataFrame({"host": [key[0]], "answers": [seen], "rate": [rate]})
+
+    return answers.groupBy("host").applyInPandasWithState(step, "host string, answers long, rate double", "rate double, fast int, seen long", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Runs a streaming aggregation over all that is there now; its result is a table in the shared folder, replaced as a whole by each batch."""
+    spark = stream.sparkSession
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/result")
+
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/result")

@@ -187,7 +187,7 @@ def test_stream_upsert(spark, tmp_path):
         spark.createDataFrame([("http://a.example/x", html, 200, T + dt.timedelta(days=i), None, None)], schema).coalesce(1).write.mode("append").parquet(land)
     rows = pipeline.saved_pages(pipeline.landing(spark, land, spark.read.parquet(land).schema, 1))
     pipeline.upsert_into(rows, str(tmp_path / "state"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    final = spark.read.parquet(str(tmp_path / "state" / "v1")).collect()
+    final = pipeline.current_state(spark, str(tmp_path / "state"), 1).collect()
     assert len(final) == 1 and final[0]["last_scraped"] == (T + dt.timedelta(days=1)).replace(tzinfo=None)
 
 
