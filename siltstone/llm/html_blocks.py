@@ -140,3 +140,17 @@ def title_of(page: str) -> str:
     """The first title, decoded; empty if there is none."""
     found = _TITLE.search(page)
     return _html.unescape(found[1]) if found else ""
+
+
+_NOSCRIPT = re.compile(r"<noscript\b" + _ATTRS + r">(.*?)(?:</noscript\s*>|\Z)", re.S | re.I)
+_ANY_TAG = re.compile(r"<[a-zA-Z/!?]" + _ATTRS + r">")
+
+
+def without_title(page: str) -> str:
+    """The page without its titles."""
+    return _TITLE.sub("", page)
+
+
+def noscript_of(page: str) -> list[str]:
+    """What the page shows where scripts do not run, without tags."""
+    return [_ANY_TAG.sub(" ", x) for x in _NOSCRIPT.findall(page)]

@@ -18,6 +18,20 @@ PLACEHOLDER = re.compile(
 PLACEHOLDER_WORDS = ("todo: ", "tbd - ", "xxxx-xxxx", "nan of undefined", "undefined undefined", "fill in before launch")
 
 
+# Notations and field names from which examples of placeholders are made; @ stands for the field.
+NOTATIONS = (
+    "{{ @ }}", "{{@}}", "{{{ @ }}}", "{% @ %}", "{% block @ %}", "{@}", "{0}", "<%= @ %>", "<% @ %>", "${@}", "$@_@$", "%%@%%", "%(@)s", "%s", "%d", "#{@}", "__@__", "&&@&&", "??@??", "[[@]]", "[[ @ ]]", ":@_@:",
+    "<@ @>", "<your @>", "[your @]", "[Your @ here]", "[insert @ here]", "[enter @]", "[add @]", "[missing translation: @]", "[object Object]", "(@ to be written)", "(@ to be added)", "(the @ to be done)", "<!--@-->",
+    "TODO: add @", "TODO: @", "TBD - @", "XXXX-XXXX", "NaN of undefined", "undefined undefined", "fill in before launch",
+)
+FIELDS = "title name author page.title site_name user description date content first_name price company summary email link product header".split()
+
+
+def examples() -> list[str]:
+    """Placeholders of all notations and fields, as they stand in a text."""
+    return [f" {n.replace('@', f)} " for n in NOTATIONS for f in FIELDS] + [f" @@{f}@@ " for f in FIELDS]
+
+
 def has_placeholder(text: str) -> bool:
     """Does any placeholder stand in the text?"""
     if PLACEHOLDER.search(text):
