@@ -7,7 +7,8 @@ least ``length + 1 - q * (edits + 1)`` q-grams whose diagonals (place in the doc
 less place in the passage) fall into one band. Bands overlap by half, so no
 run is split between two, and within a band hits that do not overlap are
 stretches of their own. What meets the bound is aligned word by word within
-the band, and the longest run of equal words decides.
+the band: the longest run of equal words that needs at most ``edits`` changed,
+added or left out words decides. With ``edits`` 0 that is an unbroken run.
 
 All passages are one stated query set: they are held by every task, in blocks
 of at most ``BLOCK_BYTES`` bytes; a larger set takes several passes over the corpus.
@@ -116,13 +117,48 @@ def longest_run(a: list[bytes], b: list[bytes], band: int) -> int:
     return best
 
 
-def _aligned(text: bytes, passage: bytes, first: int, last: int, at_first: int, at_last: int, edits: int) -> int:
-    """Longest run of equal words where ``text[first:last]`` lies over ``passage[at_first:at_last]``; cut words are completed."""
+def edited_run(a: list[bytes], b: list[bytes], band: int, edits: int) -> int:
+    """Most equal words of a run that needs at most ``edits`` changed, added or left out words, aligned within ``band`` of the main diagonal.
+
+    ``before[d][k]`` is the best run that ends at the place before on diagonal d with k edits; it begins anew wherever that is better.
+    """
+    width = 2 * band + 1
+    before = [[0] * (edits + 1) for _ in range(width)]
+    best = 0
+    for i, word in enumerate(a):
+        now = [[0] * (edits + 1) for _ in range(width)]
+        for d in range(width):
+            j = i + d - band
+            if not 0 <= j < len(b):
+                continue
+            for k in range(edits + 1):
+                if word == b[j]:
+                    run = before[d][k] + 1
+                else:
+                    run = before[d][k - 1] if k else 0
+                if k:
+                    if d + 1 < width:
+                        run = max(run, before[d + 1][k - 1])  # a word of the text more
+                    if d:
+                        run = max(run, now[d - 1][k - 1])  # a word of the passage more
+                now[d][k] = run
+                if run > best:
+                    best = run
+        before = now
+    return best
+
+
+def _aligned(text: bytes, passage: bytes, first: int, last: int, at_first: int, at_last: int, edits: int, reach: int) -> int:
+    """Longest run where ``text[first:last]`` lies over ``passage[at_first:at_last]``, up to ``reach`` bytes around it; cut words are completed."""
+    back = min(reach, first, at_first)
+    first, at_first = first - back, at_first - back
+    last, at_last = min(len(text), last + reach), min(len(passage), at_last + reach)
     first, at_first = text.rfind(b" ", 0, first + 1) + 1, passage.rfind(b" ", 0, at_first + 1) + 1
     end, at_end = text.find(b" ", last), passage.find(b" ", at_last)
     a = text[first : end if end >= 0 else len(text)].split(b" ")
     b = passage[at_first : at_end if at_end >= 0 else len(passage)].split(b" ")
-    return longest_run(a, b, BAND // 2 + edits + 1)
+    band = BAND // 2 + edits + 1
+    return edited_run(a, b, band, edits) if edits else longest_run(a, b, band)
 
 
 def find_leaks(texts: list[bytes], index: Passages, min_words: int = MIN_WORDS, edits: int = EDITS) -> list[tuple[int, int]]:
@@ -174,40 +210,40 @@ def find_leaks(texts: list[bytes], index: Passages, min_words: int = MIN_WORDS,
                 continue
             own = order[s:e]
             spots = place[own]
-            run = _aligned(texts[key[0]], index.texts[key[1]], int(inside[own[0]]), int(inside[own[-1]]) + q, int(spots.min()), int(spots.max()) + q, edits)
+            run = _aligned(texts[key[0]], index.texts[key[1]], int(inside[own[0]]), int(inside[own[-1]]) + q, int(spots.min()), int(spots.max()) + q, edits, (edits + 1) * q if edits else 0)
             if run >= min_words:
                 found.add(key)
     return sorted(found)
 
 
-def leaked_items(documents: DataFrame, passages: DataFrame, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row (doc_id, item_id) for each document of ``documents(doc_id, text)`` and item of ``passages(item_id, passage)`` that share a run."""
-    items = passages.where("passage IS NOT NULL").select("item_id", "passage", F.sum(F.octet_length("passage")).over(_running()).alias("bytes"))
-    blocks = [r[0] for r in items.select((F.col("bytes") / block_bytes).cast("int").alias("b")).distinct().orderBy("b").collect()]
+def leaked_items(documents: DataFrame, passages: DataFrame, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES, edits: int = EDITS) -> DataFrame:
+    """One row (doc_id, item_id) for each document of ``documents(doc_id, text)`` and item of ``passages(item_id, passage)`` that share a run of ``min_words`` equal words with at most ``edits`` edits.
+
+    Passages are spread over as many blocks as their bytes ask for, by a hash of
+    their text, so no task sees them all while they are divided; one block at a time is on the driver.
+    """
+    spark = documents.sparkSession
+    items = passages.where("passage IS NOT NULL").select("item_id", "passage").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("passage")), F.lit(0))).first()[0]
+    count = -(-size // block_bytes)
     out = None
-    for number in blocks:
-        own = items.where((F.col("bytes") / block_bytes).cast("int") == number).select("item_id", "passage").distinct().collect()
-        index = documents.sparkSession.sparkContext.broadcast(index_passages([tuple(r) for r in own], min_words))
-        found = _search(documents, index, min_words)
+    for number in range(count):
+        own = items if count == 1 else items.where(F.pmod(F.xxhash64("passage", "item_id"), F.lit(count)) == number)
+        index = spark.sparkContext.broadcast(index_passages([tuple(r) for r in own.collect()], min_words, edits))
+        found = _search(documents, index, min_words, edits)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return documents.select("doc_id").where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"))
     return out
 
 
-def _running():
-    from pyspark.sql import Window
-
-    return Window.orderBy("item_id").rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _search(documents: DataFrame, index, min_words: int) -> DataFrame:
+def _search(documents: DataFrame, index, min_words: int, edits: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages: Passages = index.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [words_text(t) for t in batch.column(1).to_pylist()]
-            pairs = sorted({(ids[d], passages.ids[i]) for d, i in find_leaks(texts, passages, min_words)})
+            pairs = sorted({(ids[d], passages.ids[i]) for d, i in find_leaks(texts, passages, min_words, edits)})
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], ["doc_id", "item_id"])
 
     return documents.where("text <> ''").select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long")

@@ -61,5 +61,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_cleaned, p5_found, p6_containers, p7_found, p8_found, p8_restored)}
 
 
+def _runs(table: str, key: str, text: str) -> str:
+    """SQL: all runs of 13 words of a table's texts."""
+    return f"(SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS run FROM (SELECT {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p7_found": f"SELECT DISTINCT doc_id, item_id FROM {_runs('documents', 'doc_id', 'text')} JOIN {_runs('eval_items', 'item_id', 'passage')} USING (run)"}

@@ -121,3 +121,44 @@ def test_letters_that_stay_letters_of_the_same_script(models, text, chain):
 def test_quotation_marks_are_no_letters(models):
     for text in ("„leere „schnelle “local lazy” «oui»", "OPÇÕES LÖSUNG ÉQUIPE"):
         assert not encodings.judge(f"{text}\n{CLEAN[0]}", models).garbled
+
+
+def brute_edited(a, b, edits):
+    """Most equal words of an alignment of some stretches of a and b with at most so many edits, by trying all."""
+    best = 0
+
+    def go(i, j, run, left):
+        nonlocal best
+        best = max(best, run)
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            go(i + 1, j + 1, run + 1, left)
+        elif left:
+            go(i + 1, j + 1, run, left - 1)
+        if left:
+            go(i + 1, j, run, left - 1)
+            go(i, j + 1, run, left - 1)
+
+    for i in range(len(a)):
+        for j in range(len(b)):
+            go(i, j, 0, edits)
+    return best
+
+
+def test_edited_runs_against_brute_force():
+    rng = random.Random(11)
+    for _ in range(60):
+        a = [bytes([97 + rng.randrange(3)]) for _ in range(rng.randrange(0, 7))]
+        b = [bytes([97 + rng.randrange(3)]) for _ in range(rng.randrange(0, 7))]
+        for edits in (0, 1, 2):
+            assert leakage.edited_run(a, b, 8, edits) == brute_edited(a, b, edits), (a, b, edits)
+        assert leakage.longest_run(a, b, 8) == leakage.edited_run(a, b, 8, 0)
+
+
+def test_an_edit_inside_a_run():
+    words = [f"word{chr(97 + i)}{i * 7}" for i in range(16)]
+    changed, longer, shorter = [*words[:7], "other", *words[8:]], [*words[:7], "other", *words[7:]], [*words[:7], *words[8:]]
+    for text, expected in ((changed, [(0, 0)]), (longer, [(0, 0)]), (shorter, [(0, 0)]), (["x"] * 16, [])):
+        data = [leakage.words_text(" ".join(["before", "that", *text, "after", "it"]))]
+        passages = [(5, " ".join(words))]
+        assert leakage.find_leaks(data, leakage.index_passages(passages, 13, 1), 13, 1) == expected, text
+        assert leakage.find_leaks(data, leakage.index_passages(passages)) == []
