@@ -1,12 +1,14 @@
 """Main body of web pages: maximum-scoring block region.
 
 Words score positive where they are typical of articles and negative where
-they are typical of boilerplate; tags add their own cost. The weights are
-fitted on a bounded sample of pages labelled by how often their lines recur
-under different titles (``SAMPLE_PAGES``, the only bound; every page is
-scored). One linear scan finds the contiguous region of the highest sum, and
-blocks of it that score below zero by themselves (prompts, contents lists,
-bylines) are cut out.
+they are typical of boilerplate; every tag has its cost, and each kind of tag
+its log-odds. All these weights are fitted on a bounded sample of pages
+labelled by how often their lines recur under different titles
+(``SAMPLE_PAGES``, the only bound; every page is scored). One linear scan finds
+the contiguous region of the highest sum. What has to come out has gaps
+(prompts, contents lists and bylines stand inside articles), so the same sum
+decides once more for each block of the region: its tag and words by
+themselves must score above zero.
 
 Results for special input: NULL or empty html, or html without blocks, gives
 no main body. Ties between regions go to the first. Equal rows give equal
@@ -24,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.html_blocks import HEADINGS, LINK_ON, Block, blocks, is_linked, plain
+from siltstone.llm.html_blocks import BLOCK_TAGS, HEADINGS, LINK_ON, Block, blocks, is_linked, plain
 from siltstone.llm.placeholders import is_placeholder
 from siltstone.llm.residue_seeds import ERROR_TEXTS, FILLER_TEXTS, SCRIPT_TEXTS
 from siltstone.llm.sampling import smallest_hashes
@@ -48,7 +50,10 @@ LOWEST = -4.0
 TITLE_WEIGHT = 8.0
 #: A block that is one unfilled placeholder stands in the article's place.
 PLACEHOLDER_WEIGHT = 3.0
-TAG_WEIGHTS = {"h1": 4.0, "h2": 2.5, "h3": 2.5, "h4": 0.0, "h5": 0.0, "h6": 0.0, "p": 0.0, "li": 0.0, "pre": 8.0, "td": 4.0, "th": 4.0, "dt": 4.0, "dd": 2.0}
+#: Cost of every tag that begins a block.
+TAG_COST = -0.3
+#: Lines of each tag that are counted before any is seen, so that an unseen tag speaks neither way.
+TAG_PRIOR = 5.0
 #: Cells, terms and code are no boilerplate, so their words are not weighed.
 TABLE_TAGS = frozenset(["td", "th", "dt", "pre"])
 #: Cost of what lies between two blocks.
@@ -91,6 +96,8 @@ def fit(pages: Iterable[tuple[str | None, list[Block]]], seeds: Iterable[str] =
     for text in seeds:
         article.update(LETTER_WORDS.findall(text.lower()) * SEED_TIMES)
     boilerplate: Counter = Counter()
+    article_tags: Counter = Counter()
+    boilerplate_tags: Counter = Counter()
     seen = set()
     for lines in parsed:
         own = [x for x in lines if not x[2] and x[0] in ("p", "li", "pre", "dd", "h1", "h2", "h3") and len(titles[x[0], x[1]]) == 1]
@@ -106,8 +113,13 @@ def fit(pages: Iterable[tuple[str | None, list[Block]]], seeds: Iterable[str] =
                 article.update(words)
             elif n >= BOILERPLATE_TITLES and words not in in_articles and (linked or tag in ("p", "li", "h4", "h5", "h6")):
                 boilerplate.update(words * 3)
+                boilerplate_tags[tag] += 1
+                continue
+            if not linked:
+                article_tags[tag] += 1
     article.pop("", 0)
     boilerplate.pop("", 0)
+    tags = {f"<{tag}>": _tag_weight(article_tags[tag], article_tags.total(), boilerplate_tags[tag], boilerplate_tags.total()) for tag in BLOCK_TAGS}
     size = len(article.keys() | boilerplate.keys()) or 1
     total_a, total_b = sum(article.values()) or 1, sum(boilerplate.values()) or 1
     weights = {}
@@ -115,7 +127,14 @@ def fit(pages: Iterable[tuple[str | None, list[Block]]], seeds: Iterable[str] =
         a = (1 - UNSEEN_ARTICLE) * article[word] / total_a + UNSEEN_ARTICLE / size
         b = (1 - UNSEEN_BOILERPLATE) * boilerplate[word] / total_b + UNSEEN_BOILERPLATE / size
         weights[word] = max(-WEIGHT_LIMIT, min(WEIGHT_LIMIT, math.log(a / b)))
-    return weights
+    return weights | tags
+
+
+def _tag_weight(article: int, articles: int, boilerplate: int, boilerplates: int) -> float:
+    """Log-odds of a tag in articles against boilerplate, with the cost that every tag has."""
+    share = (articles + 1) / (articles + boilerplates + 2)
+    odds = math.log((article + TAG_PRIOR * share) / (boilerplate + TAG_PRIOR * (1 - share))) - math.log(share / (1 - share))
+    return max(-WEIGHT_LIMIT, min(WEIGHT_LIMIT, odds)) + TAG_COST
 
 
 def unseen_weight() -> float:
@@ -133,10 +152,12 @@ class Extractor:
     def __init__(self, weights: dict[str, float]):
         self.weights = _Weights(weights)
         self.unseen = unseen_weight()
+        self.tags = {tag: weights.get(f"<{tag}>", TAG_COST) for tag in BLOCK_TAGS}
 
     def scores(self, page: list[Block], site: frozenset[str]) -> list[float]:
         weight = self.weights.__getitem__
         find = LETTER_WORDS.findall
+        tag_weight = self.tags
         out = []
         texts = [None if b.tag in TABLE_TAGS else plain(b.raw) for b in page]
         names = [b.tag for b in page]
@@ -145,7 +166,8 @@ class Extractor:
         for i, (tag, raw, _) in enumerate(page):
             text = texts[i]
             if text is None:
-                out.append(TAG_WEIGHTS[tag])
+                # Code has words of its own, none of which is known to boilerplate.
+                out.append(tag_weight[tag] + (self.unseen * len(find(raw)) if tag == "pre" else 0.0))
                 continue
             if tag == "li" and " ".join(text.split()) in headings:
                 out.append(ENTRY_WEIGHT)
@@ -154,10 +176,10 @@ class Extractor:
                 out.append(LINK_WEIGHT)
                 continue
             if len(text) <= 80 and is_placeholder(text.strip()):
-                out.append((TITLE_WEIGHT if i == title else TAG_WEIGHTS[tag]) + PLACEHOLDER_WEIGHT)
+                out.append((TITLE_WEIGHT if i == title else tag_weight[tag]) + PLACEHOLDER_WEIGHT)
                 continue
             words = find(text.lower())
-            score = TITLE_WEIGHT if i == title else TAG_WEIGHTS[tag]
+            score = TITLE_WEIGHT if i == title else tag_weight[tag]
             if words:
                 score += sum(map(weight, words))
                 for w in site:
@@ -203,3 +225,18 @@ def main_body(results: DataFrame, weights: dict[str, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], ["result_id", "block_no"])
 
     return results.where("html <> ''").select("result_id", "url", "html").mapInArrow(find, "result_id long, block_no int")
+
+
+def body_text(results: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(result_id, text) of each page of ``results(result_id, url, html)`` with html: the blocks of its main body, one a line; a page without one has empty text."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractor = Extractor(weights)
+        for batch in batches:
+            texts = []
+            for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = blocks(page)
+                texts.append("\n".join(" ".join(plain(found[i].raw).split()) for i in extractor.body(found, url)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["result_id", "text"])
+
+    return results.where("html <> ''").select("result_id", "url", "html").mapInArrow(find, "result_id long, text string")

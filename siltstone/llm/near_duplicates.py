@@ -29,13 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.html_blocks import blocks, plain
 from siltstone.llm.main_body import WORDS, Extractor
 from siltstone.plans.components import connected_components
+from siltstone.plans.lineage import cut, keep
 
 GRAM = 3
 SIMILARITY = 0.7
@@ -45,6 +45,10 @@ COUNT_BUCKETS = 1 << 20
 _SLOTS = 64
 #: A node of the tree with more rows is cut into blocks.
 NODE_ROWS = 50_000
+#: Pairs that a task holds before it passes them on.
+PAIRS_HELD = 1 << 20
+#: Members of a class that pair up in one task.
+CLASS_PART = 2_000
 BITS = 512
 
 _WORD_HASHES: dict[str, int] = {}
@@ -189,13 +193,13 @@ def _split_of(sig: np.ndarray, splits: np.ndarray) -> np.ndarray:
     return ((sig.astype(np.uint64) >> np.uint64(17)) % splits.astype(np.uint64)).astype(np.int64)
 
 
-def node_pairs(gram, block, sig, n, pos, edge, similarity: float, splits=None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets that meet in a node, of rows ordered by (gram, block, n, sig).
+def node_pairs(gram, block, sig, n, pos, edge, similarity: float, splits=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets that meet in a node, of rows ordered by (gram, block, n, sig), about ``PAIRS_HELD`` at a time.
 
     Step d compares each row with the d-th after it; a row leaves the
     traversal once the sizes are too far apart, so all nodes are traversed together.
     """
-    left, right = [], []
+    left, right, held = [], [], 0
     rows = np.arange(len(gram))
     step = 0
     size = len(gram)
@@ -206,14 +210,19 @@ def node_pairs(gram, block, sig, n, pos, edge, similarity: float, splits=None) -
         on = (gram[rows] == gram[other]) & (block[rows] == block[other]) & (n[rows] >= similarity * n[other] - 1e-9)
         rows, other = rows[on], other[on]
         need = np.ceil(similarity / (1 + similarity) * (n[rows] + n[other]) - 1e-9)
-        keep = (np.minimum(n[rows] - pos[rows], n[other] - pos[other]) >= need) & ((edge[rows] != edge[other]) | (pos[rows] == 0) | (pos[other] == 0)) & (sig[rows] != sig[other])
+        keep_ = (np.minimum(n[rows] - pos[rows], n[other] - pos[other]) >= need) & ((edge[rows] != edge[other]) | (pos[rows] == 0) | (pos[other] == 0)) & (sig[rows] != sig[other])
         if splits is not None:
             cut = block[rows] > 0
             across = (block[rows] - 1 >> 15) != (block[rows] - 1 & 0x7FFF)
-            keep &= ~(cut & across & (_split_of(sig[rows], splits[rows]) == _split_of(sig[other], splits[rows])))
-        left.append(np.minimum(sig[rows[keep]], sig[other[keep]]))
-        right.append(np.maximum(sig[rows[keep]], sig[other[keep]]))
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            keep_ &= ~(cut & across & (_split_of(sig[rows], splits[rows]) == _split_of(sig[other], splits[rows])))
+        left.append(np.minimum(sig[rows[keep_]], sig[other[keep_]]))
+        right.append(np.maximum(sig[rows[keep_]], sig[other[keep_]]))
+        held += len(left[-1])
+        if held >= PAIRS_HELD:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
 
 
 def tree_pairs(rows: DataFrame, counts: np.ndarray, similarity: float = SIMILARITY, node_rows: int = NODE_ROWS) -> DataFrame:
@@ -224,19 +233,17 @@ def tree_pairs(rows: DataFrame, counts: np.ndarray, similarity: float = SIMILARI
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
 
-        def meet(data: list[np.ndarray]) -> pa.RecordBatch:
+        def meet(data: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             gram, block = data[0], data[1]
             splits = None
             if block.any():
                 splits = np.maximum(1, -(-counts[gram.astype(np.uint32) & np.uint32(COUNT_BUCKETS - 1)].astype(np.int64) // node_rows))
                 splits = np.minimum(splits, 1 << 14)
-            a, b = node_pairs(*data, similarity, splits)
-            if len(a):
+            for a, b in node_pairs(*data, similarity, splits):
                 order = np.lexsort((b, a))
                 a, b = a[order], b[order]
                 new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-                a, b = a[new], b[new]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["sig_a", "sig_b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["sig_a", "sig_b"])
 
         held: list[list[np.ndarray]] = []
         for batch in batches:
@@ -245,17 +252,17 @@ def tree_pairs(rows: DataFrame, counts: np.ndarray, similarity: float = SIMILARI
                 continue
             changes = np.flatnonzero((np.diff(data[0]) != 0) | (np.diff(data[1]) != 0))
             if held and (held[-1][0][-1] != data[0][0] or held[-1][1][-1] != data[1][0]):
-                yield meet([np.concatenate(x) for x in zip(*held, strict=True)])
+                yield from meet([np.concatenate(x) for x in zip(*held, strict=True)])
                 held = []
             if not len(changes):
                 held.append(data)
                 continue
             end = changes[-1] + 1
             held.append([x[:end] for x in data])
-            yield meet([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from meet([np.concatenate(x) for x in zip(*held, strict=True)])
             held = [[x[end:] for x in data]]
         if held:
-            yield meet([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from meet([np.concatenate(x) for x in zip(*held, strict=True)])
 
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -277,7 +284,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, node_rows: int = NODE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity) between representatives, and the representative of each ``sig``.
 
-    ``sets`` should be persisted: it is read several times.
+    ``sets`` should be a kept table: it is read several times, some columns at a time.
     """
     counts = gram_counts(sets)
     bits = [f"b{i}" for i in range(BITS // 64)]
@@ -298,18 +305,24 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, node_rows: int
 
 
 def near_duplicate_classes(results: DataFrame, weights: dict[str, float], similarity: float = SIMILARITY) -> DataFrame:
-    """One row (result_id, class_id) for each result that takes part; the class is its least result_id."""
-    sets = bodies(results, weights).persist(StorageLevel.MEMORY_AND_DISK)
+    """One row (result_id, class_id, links) for each result that takes part: the class is its least result_id, links are the other results that it is similar to itself, equal ones too."""
+    sets = keep(bodies(results, weights))
     links, own = similar_sets(sets, similarity)
+    links = cut(links.select("a", "b"))
     classes = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     owners = sets.select("result_id", "sig").join(own, "sig")
-    return owners.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").select("result_id", F.coalesce("component", "rep").alias("class_id"))
-
-
-def class_pairs(classes: DataFrame, splits: int = 8) -> DataFrame:
-    """All pairs (result_id_a < result_id_b) of a class; the rows of a hot class are spread over ``splits`` tasks."""
-    many = classes.groupBy("class_id").count().where("count > 1").select("class_id")
-    kept = classes.join(many, "class_id")
-    a = kept.select("class_id", F.col("result_id").alias("result_id_a"), F.pmod(F.xxhash64("result_id"), F.lit(splits)).cast("int").alias("split"))
-    b = kept.select("class_id", F.col("result_id").alias("result_id_b"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
+    copies = owners.groupBy("rep").agg(F.count("*").alias("copies"))
+    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    others = ends.join(copies.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("others"))
+    of_rep = copies.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").join(others, "rep", "left")
+    of_rep = of_rep.select("rep", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return owners.select("result_id", "rep").join(of_rep, "rep").select("result_id", "class_id", "links")
+
+
+def class_pairs(classes: DataFrame, part: int = CLASS_PART) -> DataFrame:
+    """All pairs (result_id_a < result_id_b) of a class; a class goes to as many tasks as it has ``part`` members."""
+    sizes = classes.groupBy("class_id").count().where("count > 1").select("class_id", F.ceil(F.col("count") / part).cast("int").alias("splits"))
+    kept = classes.select("class_id", "result_id").join(sizes, "class_id")
+    a = kept.select("class_id", F.col("result_id").alias("result_id_a"), F.pmod(F.xxhash64("result_id"), F.col("splits")).cast("int").alias("split"))
+    b = kept.select("class_id", F.col("result_id").alias("result_id_b"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"))
     return a.join(b, ["class_id", "split"]).where("result_id_a < result_id_b").select("result_id_a", "result_id_b")

@@ -18,6 +18,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.class_pairs(near_duplicates.near_duplicate_classes(results, main_body.fit_on(results)))
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of each result."""
+    results = _table(spark, folder, "crawl_results")
+    return near_duplicates.near_duplicate_classes(results, main_body.fit_on(results))
+
+
+def p2_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main body of each page as text."""
+    results = _table(spark, folder, "crawl_results")
+    return main_body.body_text(results, main_body.fit_on(results))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     results = _table(spark, folder, "crawl_results")
     return main_body.main_body(results, main_body.fit_on(results))
@@ -58,7 +70,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_cleaned, p5_found, p6_containers, p7_found, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_text, p3_found, p3_cleaned, p5_found, p6_containers, p7_found, p8_found, p8_restored)}
 
 
 def _runs(table: str, key: str, text: str) -> str:

@@ -43,7 +43,10 @@ def test_near_duplicates_against_brute_force(spark):
     expected = {x: find(x) for x in sets}
     results = spark.createDataFrame(rows, "result_id long, url string, html string")
     classes = near_duplicates.near_duplicate_classes(results, WEIGHTS)
-    assert dict(classes.collect()) == expected
+    rows_of = classes.collect()
+    assert {r["result_id"]: r["class_id"] for r in rows_of} == expected
+    assert {r["result_id"]: r["links"] for r in rows_of} == {x: sum(x != y and len(sets[x] & sets[y]) >= 0.7 * len(sets[x] | sets[y]) for y in sets) for x in sets}
+    assert near_duplicates.class_pairs(classes, 2).count() == near_duplicates.class_pairs(classes).count()
     pairs = {tuple(r) for r in near_duplicates.class_pairs(classes).collect()}
     assert pairs == {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if expected[a] == expected[b]}
     assert near_duplicates.near_duplicate_classes(results.where("false"), WEIGHTS).count() == 0
