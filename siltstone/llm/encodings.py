@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siltstone.llm.sampling import smallest_hashes
+from siltstone.plans.shipping import map_arrow
 
 #: Documents for fitting: those with the smallest hash of their id. Sampled lines per document, and characters per line.
 SAMPLE_DOCUMENTS = 2000
@@ -478,4 +479,4 @@ def restore(documents: DataFrame, models: Models, rounds: int = ROUNDS) -> DataF
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "chain", "evidence", "restored", "complete"])
 
-    return documents.where("text <> ''").select("doc_id", "text").mapInArrow(find, _SCHEMA)
+    return map_arrow(documents.where("text <> ''").select("doc_id", "text"), find, _SCHEMA)

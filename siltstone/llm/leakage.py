@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.main_body import WORDS
+from siltstone.plans.shipping import map_arrow
 
 MIN_WORDS = 13
 #: Bounds of the q-gram length, and how many q-grams a run should share at least.
@@ -246,4 +247,4 @@ def _search(documents: DataFrame, index, min_words: int, edits: int) -> DataFram
             pairs = sorted({(ids[d], passages.ids[i]) for d, i in find_leaks(texts, passages, min_words, edits)})
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], ["doc_id", "item_id"])
 
-    return documents.where("text <> ''").select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long")
+    return map_arrow(documents.where("text <> ''").select("doc_id", "text"), search, "doc_id long, item_id long")

@@ -30,6 +30,7 @@ from siltstone.llm.html_blocks import BLOCK_TAGS, HEADINGS, LINK_ON, Block, bloc
 from siltstone.llm.placeholders import is_placeholder
 from siltstone.llm.residue_seeds import ERROR_TEXTS, FILLER_TEXTS, SCRIPT_TEXTS
 from siltstone.llm.sampling import smallest_hashes
+from siltstone.plans.shipping import map_arrow
 
 #: Pages whose lines are labelled for fitting: those with the smallest hash of their id.
 SAMPLE_PAGES = 2000
@@ -224,7 +225,7 @@ def main_body(results: DataFrame, weights: dict[str, float]) -> DataFrame:
                 numbers += [i + 1 for i in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], ["result_id", "block_no"])
 
-    return results.where("html <> ''").select("result_id", "url", "html").mapInArrow(find, "result_id long, block_no int")
+    return map_arrow(results.where("html <> ''").select("result_id", "url", "html"), find, "result_id long, block_no int")
 
 
 def body_text(results: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -239,4 +240,4 @@ def body_text(results: DataFrame, weights: dict[str, float]) -> DataFrame:
                 texts.append("\n".join(" ".join(plain(found[i].raw).split()) for i in extractor.body(found, url)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["result_id", "text"])
 
-    return results.where("html <> ''").select("result_id", "url", "html").mapInArrow(find, "result_id long, text string")
+    return map_arrow(results.where("html <> ''").select("result_id", "url", "html"), find, "result_id long, text string")

@@ -36,6 +36,7 @@ from siltstone.llm.html_blocks import blocks, plain
 from siltstone.llm.main_body import WORDS, Extractor
 from siltstone.plans.components import connected_components
 from siltstone.plans.lineage import cut, keep
+from siltstone.plans.shipping import group_arrow, map_arrow
 
 GRAM = 3
 SIMILARITY = 0.7
@@ -110,7 +111,7 @@ def bodies(results: DataFrame, weights: dict[str, float], gram: int = GRAM, min_
             columns += [pa.array(np.ascontiguousarray(table[:, i])) for i in range(BITS // 64)]
             yield pa.RecordBatch.from_arrays(columns, ["result_id", "sig", "n", "grams", *(f"b{i}" for i in range(BITS // 64))])
 
-    return results.where("html <> ''").select("result_id", "url", "html").mapInArrow(make, _BODY_SCHEMA)
+    return map_arrow(results.where("html <> ''").select("result_id", "url", "html"), make, _BODY_SCHEMA)
 
 
 def gram_counts(sets: DataFrame) -> np.ndarray:
@@ -132,7 +133,7 @@ def gram_counts(sets: DataFrame) -> np.ndarray:
             total += np.frombuffer(data, np.int64)
         return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = sets.select("grams").mapInArrow(count, "slot int, counts binary").groupBy("slot").applyInArrow(add, "slot int, counts binary").collect()
+    rows = group_arrow(map_arrow(sets.select("grams"), count, "slot int, counts binary").groupBy("slot"), add, "slot int, counts binary").collect()
     out = np.zeros(COUNT_BUCKETS, np.int64)
     for slot, data in rows:
         out[slot * width : (slot + 1) * width] = np.frombuffer(data, np.int64)
@@ -186,7 +187,7 @@ def tree_rows(sets: DataFrame, counts: np.ndarray, similarity: float = SIMILARIT
                 block = np.concatenate((block[cold], (low << 15 | high).astype(np.int32) + 1))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, block, sig, n, pos, edge)], ["gram", "block", "sig", "n", "pos", "edge"])
 
-    return sets.select("sig", "grams").mapInArrow(place, _TREE_SCHEMA)
+    return map_arrow(sets.select("sig", "grams"), place, _TREE_SCHEMA)
 
 
 def _split_of(sig: np.ndarray, splits: np.ndarray) -> np.ndarray:
@@ -267,7 +268,7 @@ def tree_pairs(rows: DataFrame, counts: np.ndarray, similarity: float = SIMILARI
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "gram", "block").sortWithinPartitions("gram", "block", "n", "sig").select(*columns)
-    return ordered.mapInArrow(traverse, "sig_a long, sig_b long").distinct()
+    return map_arrow(ordered, traverse, "sig_a long, sig_b long").distinct()
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +301,7 @@ def similar_sets(sets: DataFrame, similarity: float = SIMILARITY, node_rows: int
         .join(grams.select(F.col("result_id").alias("b"), F.col("grams").alias("grams_b")), "b")
         .select("a", "b", "grams_a", "grams_b")
     )
-    links = full.mapInArrow(_overlaps, "a long, b long, similarity double").where(F.col("similarity") >= similarity - 1e-12)
+    links = map_arrow(full, _overlaps, "a long, b long, similarity double").where(F.col("similarity") >= similarity - 1e-12)
     return links, own.select("sig", "rep")
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.plans.lineage import cut
+from siltstone.plans.shipping import group_arrow, map_arrow
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-split pattern of the public byte-level vocabulary.
@@ -63,7 +64,7 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             sizes = count(batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64())], ["doc_id", "lang", "source", "tokens"])
 
-    return documents.select("doc_id", "lang", "source", "text").mapInArrow(measure, "doc_id long, lang string, source string, tokens long")
+    return map_arrow(documents.select("doc_id", "lang", "source", "text"), measure, "doc_id long, lang string, source string, tokens long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[int]:
@@ -124,7 +125,7 @@ def _one_round(items: DataFrame, counts: DataFrame, part_items: int) -> DataFram
     """Packs items by parts of their group; ``counts(pack_id, value, n)`` sets the number of parts."""
     keyed = items.join(counts, (items["pack_id"] == counts["c_pack"]) & items["value"].eqNullSafe(counts["c_value"])).drop("c_pack", "c_value")
     parted = keyed.withColumn("part", F.pmod(F.xxhash64(F.col("members")[0]["doc_id"], F.col("members")[0]["piece_no"]), F.col("parts")).cast("int")).drop("parts")
-    return parted.groupBy("pack_id", "value", "part").applyInArrow(_pack_part, _BIN_SCHEMA)
+    return group_arrow(parted.groupBy("pack_id", "value", "part"), _pack_part, _BIN_SCHEMA)
 
 
 def _parts(counted: DataFrame, part_items: int) -> DataFrame:

@@ -32,6 +32,7 @@ from siltstone.functions.urls import normalised_address
 from siltstone.llm.html_blocks import LINE_TAGS, blocks, plain
 from siltstone.llm.main_body import LETTER_WORDS
 from siltstone.plans.lineage import keep
+from siltstone.plans.shipping import map_arrow
 
 MIN_WORDS = 3
 MIN_PAGES = 5
@@ -122,7 +123,7 @@ def page_lines(results: DataFrame) -> DataFrame:
 
     address = normalised_address(F.col("url"))
     pages = results.where("html <> ''").select("result_id", address["host"].alias("host"), address["url"].alias("address"), "html").where("host <> ''")
-    return pages.select("result_id", F.xxhash64("host").alias("site"), F.xxhash64("address").alias("page"), "html").mapInArrow(make, _SCHEMA)
+    return map_arrow(pages.select("result_id", F.xxhash64("host").alias("site"), F.xxhash64("address").alias("page"), "html"), make, _SCHEMA)
 
 
 def _excessive(marked: DataFrame, sizes: DataFrame, min_pages: int, min_share: float) -> DataFrame:
@@ -176,4 +177,4 @@ def without_repeated_lines(results: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int32()), pa.array(texts, pa.string())], ["result_id", "removed", "text"])
 
     pages = results.where("html <> ''").select("result_id", "html").join(cut_from, "result_id", "left").select("result_id", "html", "cut")
-    return pages.mapInArrow(make, "result_id long, removed int, text string")
+    return map_arrow(pages, make, "result_id long, removed int, text string")
