@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans.shipping import map_arrow
+
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSED_BY = {"p": frozenset("p div ul ol dl table pre h1 h2 h3 h4 h5 h6 section article header footer nav aside main blockquote hr".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"])}
@@ -371,7 +373,7 @@ def convert(results: DataFrame, keep: tuple[str, ...] = (), remove: tuple[str, .
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["result_id", "markdown", "error"])
 
-    return results.where("html <> ''").select("result_id", "html").mapInArrow(make, "result_id long, markdown string, error string")
+    return map_arrow(results.where("html <> ''").select("result_id", "html"), make, "result_id long, markdown string, error string")
 
 
 def link_targets(text: Column) -> Column:

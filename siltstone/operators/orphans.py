@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.urls import normalised_address
 from siltstone.plans.lineage import cut, keep
+from siltstone.plans.shipping import group_arrow, map_arrow
 
 #: How much later than the reference its parent may come.
 GRACE = "7 days"
@@ -87,7 +88,7 @@ def _bitmaps(rows: DataFrame) -> DataFrame:
         if held:
             yield make(held)
 
-    return rows.select("_key", "_month", "what").mapInArrow(build, "bucket long, _month int, what int, bits binary")
+    return map_arrow(rows.select("_key", "_month", "what"), build, "bucket long, _month int, what int, bits binary")
 
 
 def _and_not(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -131,7 +132,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, grace: str = GR
         .select("_key", "_month", F.array_compact(F.array(F.when(F.col("latest.good"), F.lit(ENDS_GOOD)).otherwise(F.lit(ENDS_BAD)), F.when(F.col("any_bad"), F.lit(ANY_BAD)))).alias("what"))
     )
     marks = times_of.select("_key", "_month", F.lit(REFERENCED).alias("what")).unionByName(by_month.select("_key", "_month", F.explode("what").alias("what")))
-    left = cut(_bitmaps(marks).groupBy("bucket").applyInArrow(_and_not, "_key long, _month int"))
+    left = cut(group_arrow(_bitmaps(marks).groupBy("bucket"), _and_not, "_key long, _month int"))
     times = times_of.join(left, ["_key", "_month"], "left_semi").select("_key", "t").withColumn("_hour", F.date_trunc("hour", "t"))
     events = known.join(left.select("_key").distinct(), "_key", "left_semi").withColumn("_hour", F.date_trunc("hour", "time"))
     at_end = events.groupBy("_key", "_hour").agg(F.max(F.struct("time", "rank", "good")).alias("latest"))

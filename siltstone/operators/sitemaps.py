@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import urls
 from siltstone.plans.order import numbered
+from siltstone.plans.shipping import map_arrow
 
 # Change frequencies of the sitemap protocol.
 CHANGE_FREQUENCIES = ("always", "hourly", "daily", "weekly", "monthly", "yearly", "never")
@@ -72,7 +73,7 @@ def decompressed(documents: DataFrame) -> DataFrame:
                 texts.append(None if content is None else content.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["source", "xml"])
 
-    return documents.select("source", F.col("content").cast("binary")).mapInArrow(unpack, "source string, xml string")
+    return map_arrow(documents.select("source", F.col("content").cast("binary")), unpack, "source string, xml string")
 
 
 def resolve_index(documents: DataFrame, roots: DataFrame, depth_limit: int | None = None) -> DataFrame:

@@ -9,10 +9,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import markdown
+from siltstone.plans.shipping import ship
 
 _FENCE = re.compile(r"```(\w+)\n(.*?)```", re.S)
 HOOKS = ("pre_crawl", "post_fetch", "post_convert", "post_save", "post_crawl")
@@ -87,6 +88,12 @@ def python_transform(function: Callable[[str], str]) -> Callable[[str], str]:
     return function
 
 
+def _ship_active() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship(spark)
+
+
 def _guard(function: Callable[[str], str], name: str) -> Callable[[Column], Column]:
     def one(text: str | None) -> tuple[str | None, str | None]:
         try:
@@ -98,6 +105,7 @@ def _guard(function: Callable[[str], str], name: str) -> Callable[[Column], Colu
         for part in parts:
             yield pd.DataFrame([one(x) for x in part], columns=["text", "error"])
 
+    _ship_active()
     return F.pandas_udf(batches, "text string, error string")
 
 
@@ -137,6 +145,7 @@ def highlighted(text: Column) -> Column:
         for part in parts:
             yield part.map(all_of)
 
+    _ship_active()
     return F.pandas_udf(batches, "string")(text)
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.plans.shipping import map_arrow
+
 VERSION = 1
 SCHEMA = (
     "version int, config_name string, config_hash string, created_at string, last_updated string, "
@@ -128,4 +130,4 @@ def read_sqlite(spark: SparkSession, path: str, table: str, rows_per_part: int =
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     parts = max(1, -(-last // rows_per_part))
-    return spark.range(0, parts, 1, min(parts, 1000)).mapInArrow(read, schema)
+    return map_arrow(spark.range(0, parts, 1, min(parts, 1000)), read, schema)

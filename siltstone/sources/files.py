@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans.shipping import map_arrow
+
 #: Kinds of failure of a written file.
 NO_SPACE, DENIED, IO, TOO_LARGE, FETCH = "no_space", "permission", "io", "too_large", "fetch"
 WRITTEN = "path string, bytes long, state string, message string"
@@ -81,7 +83,7 @@ def save_texts(documents: DataFrame, root: str, order: str = "result_id", dry: b
             yield _report(rows)
 
     chosen = last_of_path(documents.where("text IS NOT NULL").select("path", order, "text"), order).select("path", "text")
-    return chosen.mapInArrow(write, WRITTEN)
+    return map_arrow(chosen, write, WRITTEN)
 
 
 def pending_assets(wanted: DataFrame, saved: DataFrame) -> DataFrame:
@@ -119,7 +121,7 @@ def save_assets(assets: DataFrame, root: str, fetch: Callable[[str], bytes], lim
             yield _report(rows)
 
     own = assets.where("path IS NOT NULL AND asset_url IS NOT NULL").groupBy("path").agg(F.min("asset_url").alias("asset_url")).select("asset_url", "path")
-    return own.mapInArrow(write, WRITTEN)
+    return map_arrow(own, write, WRITTEN)
 
 
 def write_table(rows: DataFrame, at: str, records_per_file: int = 0) -> None:
