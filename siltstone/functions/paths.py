@@ -16,7 +16,7 @@ def document_path(url: Column, strip_prefix: str = "", root: str = "docs", index
     """Path of a page's Markdown file; query and fragment do not matter. Parent steps are dropped, so no path leaves the root."""
     whole = F.regexp_replace(urls.path(url), r"(?:^|/)\.\.?(?=/|$)", "")
     if strip_prefix:
-        whole = F.when(whole.startswith(strip_prefix), F.substring(whole, len(strip_prefix) + 1, 1 << 20)).otherwise(whole)
+        whole = F.when(whole.startswith(strip_prefix), whole.substr(F.lit(len(strip_prefix) + 1), F.length(whole))).otherwise(whole)
     folder = whole.endswith("/")
     bare = F.regexp_replace(whole, r"^/+|/+$", "")
     return F.when(bare == "", F.lit(f"{root}/{index}")).when(folder, F.concat(F.lit(f"{root}/"), bare, F.lit(f"/{index}"))).otherwise(F.concat(F.lit(f"{root}/"), bare, F.lit(".md")))
@@ -26,7 +26,7 @@ def asset_path(url: Column, strip_prefix: str = "", root: str = "assets") -> Col
     """Path of an asset's file; the host does not matter."""
     whole = F.regexp_replace(urls.path(url), r"(?:^|/)\.\.?(?=/|$)", "")
     if strip_prefix:
-        whole = F.when(whole.startswith(strip_prefix), F.substring(whole, len(strip_prefix) + 1, 1 << 20)).otherwise(whole)
+        whole = F.when(whole.startswith(strip_prefix), whole.substr(F.lit(len(strip_prefix) + 1), F.length(whole))).otherwise(whole)
     return F.concat(F.lit(f"{root}/"), F.regexp_replace(whole, r"^/+", ""))
 
 
