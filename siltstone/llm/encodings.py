@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from siltstone.llm.sampling import smallest_hashes
 from siltstone.plans.shipping import map_arrow
 
-#: Documents for fitting: those with the smallest hash of their id. Sampled lines per document, and characters per line.
+#: Documents for fitting: those with the smallest hash of their id. Sampled lines per document, and characters of a line; they bound the fitting only.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_LINES = 12
+SAMPLE_CHARACTERS = 400
 #: Clean lines that are garbled synthetically for each chain.
 CHAIN_LINES = 3000
 #: Weight of the lines in capitals in the model of clean text.
@@ -233,7 +234,7 @@ def fit_models(texts: Iterable[str | None]) -> Models:
         if not text or text.isascii() or "�" in text:
             continue
         own = [x for x in without_code(text).splitlines() if not x.isascii()]
-        lines += [x[:400] for x in own[:: max(1, len(own) // SAMPLE_LINES)][:SAMPLE_LINES]]
+        lines += [x[:SAMPLE_CHARACTERS] for x in own[:: max(1, len(own) // SAMPLE_LINES)][:SAMPLE_LINES]]
     kept = [line for line in lines if not any(_is_doubly_encoded(t) or is_oddly_cased(t) for t in tokens(line))]
     clean, first = _clean_model(kept)
     for _ in range(2):

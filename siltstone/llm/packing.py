@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from siltstone.plans.lineage import cut
 from siltstone.plans.shipping import group_arrow, map_arrow
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-split pattern of the public byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 FULL = 0.98
 PART_ITEMS = 20_000
 #: Rounds end where one leaves more than this share of its items as open containers.
 NO_SAVING = 0.995
+#: Most rounds; each packs a group into fewer parts, so none comes near it. What is left open then stays as it is, and no item is lost.
 MAX_ROUNDS = 20
 
 
@@ -55,8 +55,8 @@ def token_counter(path: str):
     return count
 
 
-def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, lang, source, tokens) of ``documents(doc_id, lang, source, text)``."""
+def token_sizes(documents: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, lang, source, tokens) of ``documents(doc_id, lang, source, text)``; ``tokenizer`` is a vocabulary file that every executor can read."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = token_counter(tokenizer)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import encodings, leakage, main_body, near_duplicates, packing, repeated_lines, residue
 
+#: Vocabulary file of the queries; set the variable to another on a cluster.
+TOKENIZER = os.environ.get("SILTSTONE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -51,7 +55,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = packing.token_sizes(_table(spark, folder, "documents"))
+    sizes = packing.token_sizes(_table(spark, folder, "documents"), TOKENIZER)
     return packing.pack(sizes, _table(spark, folder, "pack_sizes"))
 
 
