@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 _SPLIT = "(?s)" + _SPLIT
-_NORMAL = r"^https?://[a-z0-9.\-]+(?:[/?][^#\s]*)?$"
+#: An address that :func:`normalize` leaves as it is: small letters, no port, user or fragment, no segment that repeats the one before.
+_VISITED = r"^https?://[a-z0-9.\-]+(?!\S*/([^/?#\s]+)/\1(?:[/?#]|$))(?:/[^?#\s]*)?(?:\?[^#\s]*)?\z"
+_NORMAL = r"^https?://[a-z0-9.\-]+(?:[/?][^#\s]*)?\z"
 
 
 def part(url: Column, number: int) -> Column:
@@ -84,7 +86,8 @@ def normalize(url: Column) -> Column:
     shown_port = F.when(_default_port(own_scheme, own_port) | own_port.rlike("^0+$"), F.lit("")).otherwise(F.concat(F.lit(":"), own_port))
     head = F.when(own_scheme == "", F.lit("")).otherwise(F.concat(own_scheme, F.lit(":")))
     middle = F.when(part(text, 2) == "", F.lit("")).otherwise(F.concat(F.lit("//"), user, host(text), shown_port))
-    return F.when(text != "", F.concat(head, middle, deduplicate_segments(part(text, 3)), part(text, 4)))
+    # Most addresses are in normal form already; one match tells.
+    return F.when(url.rlike(_VISITED), url).when(text != "", F.concat(head, middle, deduplicate_segments(part(text, 3)), part(text, 4)))
 
 
 def is_safe_scheme(url: Column) -> Column:

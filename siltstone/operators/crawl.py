@@ -14,8 +14,10 @@ from siltstone.plans.order import numbered
 
 def edges_of(results: DataFrame) -> DataFrame:
     """Distinct (src, dst) of fetched pages and their safe links, both normalised. Pages without url or links give none."""
-    rows = results.select(urls.normalize(F.col("url")).alias("src"), F.explode("links").alias("link"))
-    return rows.where(urls.is_safe_scheme(F.col("link"))).select("src", urls.normalize(F.col("link")).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    pages = results.where("url IS NOT NULL").select(F.explode(F.array(urls.normalize(F.col("url")))).alias("src"), "links").where("src IS NOT NULL")
+    rows = pages.select("src", F.explode(F.array_distinct("links")).alias("link")).where(urls.is_safe_scheme(F.col("link")))
+    # Generated columns are computed once, however often the filters behind them use them.
+    return rows.select("src", F.explode(F.array(urls.normalize(F.col("link")))).alias("dst")).where("dst IS NOT NULL").distinct()
 
 
 def breadth_first(seeds: DataFrame, edges: DataFrame, depth_limit: int | None = None) -> DataFrame:

@@ -188,7 +188,7 @@ def html_links(spark: SparkSession, folder: str) -> DataFrame:
 def html_resolved_links(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct normalised http(s) links of each page, resolved against its final address."""
     rows = table(spark, folder, "crawl_results").where("html <> ''").select("result_id", F.col("final_url").alias("base"), F.explode(F.array_distinct(pages.hrefs(F.col("html")))).alias("href"))
-    absolute = rows.where("base IS NOT NULL AND trim(href) <> ''").select("result_id", urls.join(F.trim(F.col("base")), F.col("href")).alias("u"))
+    absolute = rows.where("base IS NOT NULL AND trim(href) <> ''").select("result_id", F.explode(F.array(urls.join(F.trim(F.col("base")), F.col("href")))).alias("u"))
     return absolute.where(urls.is_safe_scheme(F.col("u"))).select("result_id", urls.normalize(F.col("u")).alias("link")).distinct()
 
 
