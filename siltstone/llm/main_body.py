@@ -36,6 +36,14 @@ from siltstone.plans.shipping import map_arrow
 SAMPLE_PAGES = 2000
 #: A line under so many different titles is boilerplate.
 BOILERPLATE_TITLES = 4
+#: Lines with these tags may be an article's own; unlinked lines with these stand in articles; lines with these may be boilerplate without being links.
+OWN_TAGS = ("p", "li", "pre", "dd", "h1", "h2", "h3")
+IN_ARTICLE_TAGS = ("h1", "h2", "h3", "td", "dd")
+BOILERPLATE_TAGS = ("p", "li", "h4", "h5", "h6")
+#: Counted by site, a line is boilerplate from so many titles on, one in so many of the site's pages at least: as many as ``BOILERPLATE_TITLES`` in ``SAMPLE_PAGES``.
+SITE_PAGES = SAMPLE_PAGES // BOILERPLATE_TITLES
+#: Times that a word of boilerplate counts.
+BOILERPLATE_TIMES = 3
 #: A page helps to fit only if it has so many words in lines of its own.
 ARTICLE_WORDS = 40
 #: Shares of the two word models that belong to words never seen.
@@ -71,11 +79,27 @@ def host_words(url: str | None) -> frozenset[str]:
     return frozenset(LETTER_WORDS.findall(found[1].lower())) if found else frozenset()
 
 
-def fit(pages: Iterable[tuple[str | None, list[Block]]], seeds: Iterable[str] = SEEDS) -> dict[str, float]:
+def host_of(url: str | None) -> str:
+    """Host name in small letters, empty if there is none."""
+    found = _HOST.match(url or "")
+    return found[1].lower() if found else ""
+
+
+def titles_needed(pages: int) -> int:
+    """Titles of one site, with so many pages, under which a line has to stand to be boilerplate."""
+    return max(BOILERPLATE_TITLES, -(-pages // SITE_PAGES))
+
+
+def fit(pages: Iterable[tuple[str | None, list[Block]]], seeds: Iterable[str] = SEEDS, by_site: bool = False) -> dict[str, float]:
     """Word weights from (url, blocks) pairs; positive weights speak for the article.
 
     ``seeds`` are texts that count as main body where they stand in an article's place (error messages, filler).
+    ``by_site`` is for any number of pages: it counts the titles of boilerplate in each site by itself
+    (:func:`titles_needed`), for over all sites every line that can recur does so by chance once there are enough
+    pages, and the seeds keep their share (:func:`seed_share`).
     """
+    site_pages: Counter = Counter()
+    site_titles: dict[tuple[str, tuple[str, ...]], dict[str, set]] = defaultdict(lambda: defaultdict(set))
     titles: dict[tuple[str, tuple[str, ...]], set] = defaultdict(set)
     parsed = []
     in_articles = set()
@@ -89,19 +113,21 @@ def fit(pages: Iterable[tuple[str | None, list[Block]]], seeds: Iterable[str] =
                 title = words
             lines.append((block.tag, words, is_linked(block.raw)))
         parsed.append(lines)
+        host = host_of(url)
+        site_pages[host] += 1
         for tag, words, linked in lines:
             titles[tag, words].add(title)
-            if not linked and tag in ("h1", "h2", "h3", "td", "dd"):
+            if by_site:
+                site_titles[tag, words][host].add(title)
+            if not linked and tag in IN_ARTICLE_TAGS:
                 in_articles.add(words)
-    article: Counter = Counter()
-    for text in seeds:
-        article.update(LETTER_WORDS.findall(text.lower()) * SEED_TIMES)
+    article = seed_counts(seeds, site_pages.total() if by_site else 0)
     boilerplate: Counter = Counter()
     article_tags: Counter = Counter()
     boilerplate_tags: Counter = Counter()
     seen = set()
     for lines in parsed:
-        own = [x for x in lines if not x[2] and x[0] in ("p", "li", "pre", "dd", "h1", "h2", "h3") and len(titles[x[0], x[1]]) == 1]
+        own = [x for x in lines if not x[2] and x[0] in OWN_TAGS and len(titles[x[0], x[1]]) == 1]
         if sum(len(words) for _, words, _ in own) < ARTICLE_WORDS:
             continue
         for line in lines:
@@ -110,16 +136,35 @@ def fit(pages: Iterable[tuple[str | None, list[Block]]], seeds: Iterable[str] =
                 continue
             seen.add((tag, words))
             n = len(titles[tag, words])
-            if n == 1 and not linked and tag in ("p", "li", "pre", "dd", "h1", "h2", "h3"):
+            if n == 1 and not linked and tag in OWN_TAGS:
                 article.update(words)
-            elif n >= BOILERPLATE_TITLES and words not in in_articles and (linked or tag in ("p", "li", "h4", "h5", "h6")):
-                boilerplate.update(words * 3)
+            elif (any(len(x) >= titles_needed(site_pages[h]) for h, x in site_titles[tag, words].items()) if by_site else n >= BOILERPLATE_TITLES) and words not in in_articles and (linked or tag in BOILERPLATE_TAGS):
+                boilerplate.update(words * BOILERPLATE_TIMES)
                 boilerplate_tags[tag] += 1
                 continue
             if not linked:
                 article_tags[tag] += 1
     article.pop("", 0)
     boilerplate.pop("", 0)
+    return weights_of(article, boilerplate, article_tags, boilerplate_tags)
+
+
+def seed_share(pages: int) -> float:
+    """Times that fixed texts count among so many pages: once for each ``SAMPLE_PAGES``, for no page need hold what they stand for."""
+    return max(1.0, pages / SAMPLE_PAGES)
+
+
+def seed_counts(seeds: Iterable[str], pages: int) -> Counter:
+    """Words of the texts that count as main body, among so many pages."""
+    article: Counter = Counter()
+    for text in seeds:
+        article.update(LETTER_WORDS.findall(text.lower()))
+    times = round(SEED_TIMES * seed_share(pages))
+    return Counter({word: n * times for word, n in article.items()})
+
+
+def weights_of(article: Counter, boilerplate: Counter, article_tags: Counter, boilerplate_tags: Counter) -> dict[str, float]:
+    """Word and tag weights from counts."""
     tags = {f"<{tag}>": _tag_weight(article_tags[tag], article_tags.total(), boilerplate_tags[tag], boilerplate_tags.total()) for tag in BLOCK_TAGS}
     size = len(article.keys() | boilerplate.keys()) or 1
     total_a, total_b = sum(article.values()) or 1, sum(boilerplate.values()) or 1

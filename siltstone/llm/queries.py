@@ -51,7 +51,8 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     results = _table(spark, folder, "crawl_results")
-    return residue.residue_pages(results, residue.fit_models_on(results), _table(spark, folder, "content_quality"))
+    models, shown = residue.fit_and_show(results)
+    return residue.residue_shown(shown, models, _table(spark, folder, "content_quality"))
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 Character n-gram models for filler, for error and script notices, for
 unfilled placeholders and for natural prose are fitted on fixed seed texts and
-on a bounded sample of pages (``main_body.SAMPLE_PAGES``). Every page is scored
-whole by likelihood-ratio windows. Those for filler and notices (``WINDOW``
+on all pages: word weights of the main body are counted first (``whole_fit``),
+then the n-grams of every body that they give. Every page is scored whole by
+likelihood-ratio windows; its texts are found once, for fitting and scoring. Those for filler and notices (``WINDOW``
 characters) run over the main body, and the share that they cover decides; a
 page without main body is scored by all it shows, what it shows without
 scripts included, and one that shows nothing at all is an empty shell. Those
 for placeholders (``NARROW`` characters, over the characters and over their
 kinds, for the names of fields are anyone's) run over the title and all text
 outside code, in blocks or not; where they find something, the notation is
-checked exactly. The flags of ``content_quality`` are weak evidence: a page
+checked exactly (texts in which no notation stands at all are left out first). The flags of ``content_quality`` are weak evidence: a page
 that has one is found from a slightly smaller share on.
 
 Results for special input: NULL or empty html is never found (there is no
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.html_blocks import HEADINGS, blocks, blocks_and_rest, is_linked, noscript_of, plain, split_tags, title_of, without_code, without_title
-from siltstone.llm.main_body import SAMPLE_PAGES, WORDS, Extractor, fit
+from siltstone.llm.main_body import SEEDS, WORDS, Extractor, fit, seed_share
 from siltstone.llm.placeholders import examples, has_placeholder
 from siltstone.llm.residue_seeds import ERROR_TEXTS, FILLER_TEXTS, PROSE_TEXTS, SCRIPT_TEXTS
-from siltstone.llm.sampling import smallest_hashes
+from siltstone.llm.whole_fit import fit_on_all
+from siltstone.plans.lineage import keep
 from siltstone.plans.shipping import map_arrow
 
 GRAM = 4
@@ -83,32 +85,94 @@ def gram_buckets(text: str | bytes, table: bytes = _BYTES) -> np.ndarray:
     return value
 
 
-def _model(texts: Iterable[str], table: bytes = _BYTES) -> np.ndarray:
-    counts = np.bincount(gram_buckets(" ".join(" ".join(texts).split()), table), minlength=BUCKETS).astype(float)
-    return (1 - SPREAD) * counts / max(1.0, counts.sum()) + SPREAD / BUCKETS
+def _model(counts: np.ndarray) -> np.ndarray:
+    return (1 - SPREAD) * counts / max(1, counts.sum()) + SPREAD / BUCKETS
 
 
-def fit_models(pages: list[tuple[str | None, str | None, int | None]]) -> Models:
-    """Models from (url, html, status_code) of the sample; without any page the fixed texts alone make them."""
-    seeds = [*ERROR_TEXTS, *SCRIPT_TEXTS, *FILLER_TEXTS]
-    parsed = [blocks(page) for _, page, _ in pages]
-    weights = fit(zip((url for url, _, _ in pages), parsed, strict=True), seeds)
-    extractor = Extractor(weights)
-    prose: list[str] = list(PROSE_TEXTS)
-    errors = [*ERROR_TEXTS, *SCRIPT_TEXTS] * 3
-    for (url, _, status), found in zip(pages, parsed, strict=True):
-        texts = [plain(found[i].raw) for i in extractor.body(found, url)]
-        words = sum(len(WORDS.findall(t)) for t in texts)
+def _counts(texts: Iterable[str], table: bytes = _BYTES) -> np.ndarray:
+    return np.bincount(gram_buckets(" ".join(" ".join(texts).split()), table), minlength=BUCKETS)
+
+
+class Shown(NamedTuple):
+    """What a page shows, apart from code: the text around which a placeholder's notation stands (None if none does), the main body (None if there is none), and else what stands outside links.
+
+    The body has one line for each block, without other white space; lines of headings begin with a tab.
+    """
+
+    fields: str | None
+    body: str | None
+    bare: str | None
+
+
+def shown_of(page: str, url: str | None, extractor: Extractor) -> Shown:
+    found, rest = blocks_and_rest(split_tags(page))
+    outside = [x for x in (*(b.before for b in found), rest) if x and not x.isspace()]
+    shown = without_code("\n".join([b.raw for b in found if b.tag != "pre"]))
+    text = "\n".join([title_of(page), shown, *map(without_code, outside)])
+    fields = text if has_placeholder(f"  {text}  ") else None
+    body = extractor.body(found, url)
+    if body:
+        return Shown(fields, "\n".join([("\t" if found[i].tag in HEADINGS else "") + " ".join(plain(found[i].raw).split()) for i in body]), None)
+    # Without main body: all that is shown outside links, and what is shown without scripts.
+    bare = blocks_and_rest(split_tags(without_title(page)))
+    texts = [plain(x) for x in (*(b.before for b in bare[0]), bare[1])]
+    texts += [plain(b.raw) for b in found if not is_linked(b.raw) and b.tag in ("h1", "h2", "pre", "td")]
+    texts += [plain(x) for x in noscript_of(page)]
+    return Shown(fields, None, " ".join(" ".join(texts).split()))
+
+
+#: Rows of the n-gram counts.
+PROSE, PROSE_KINDS, ERRORS = range(3)
+
+
+def gram_counts(bodies: Iterable[tuple[int | None, str | None]]) -> np.ndarray:
+    """N-grams by bucket, a row for each of prose, its kinds of characters, and error messages, in (status_code, body) pairs."""
+    counts = np.zeros((3, BUCKETS), np.int64)
+    waiting: tuple[list[np.ndarray], ...] = ([], [], [])
+
+    def add() -> None:
+        for row, grams in zip(counts, waiting, strict=True):
+            if grams:
+                row += np.bincount(np.concatenate(grams), minlength=BUCKETS)
+                grams.clear()
+
+    size = 0
+    for status, body in bodies:
+        if body is None:
+            continue
+        words = len(WORDS.findall(body))
+        text = " ".join(body.split())
         if status is not None and status >= 400:
             if words <= ERROR_WORDS:
-                errors += texts
+                waiting[ERRORS].append(gram_buckets(text))
         elif words >= PROSE_WORDS:
-            prose += texts
-    base = np.log(_model(prose))
-    ratios = np.stack([np.log(_model(errors)) - base, np.log(_model(FILLER_TEXTS)) - base]).astype(np.float32)
+            waiting[PROSE].append(gram_buckets(text))
+            waiting[PROSE_KINDS].append(gram_buckets(text, _KINDS))
+        size += len(text)
+        if size > BUCKETS:
+            add()
+            size = 0
+    add()
+    return counts
+
+
+def models_of(weights: dict[str, float], counts: np.ndarray, pages: int) -> Models:
+    """Models from the word weights and the n-gram counts of so many pages; where there are none, the fixed texts alone make them."""
+    share = seed_share(pages)
+    base = np.log(_model(counts[PROSE] + share * _counts(PROSE_TEXTS)))
+    errors = _model(counts[ERRORS] + share * _counts([*ERROR_TEXTS, *SCRIPT_TEXTS] * 3))
+    ratios = np.stack([np.log(errors) - base, np.log(_model(_counts(FILLER_TEXTS))) - base]).astype(np.float32)
     unfilled = examples()
-    kinds = np.log(_model(unfilled, _KINDS)) - np.log(_model(prose, _KINDS))
-    return Models(weights, ratios, (np.log(_model(unfilled)) - base).astype(np.float32), kinds.astype(np.float32))
+    kinds = np.log(_model(_counts(unfilled, _KINDS))) - np.log(_model(counts[PROSE_KINDS] + share * _counts(PROSE_TEXTS, _KINDS)))
+    return Models(weights, ratios, (np.log(_model(_counts(unfilled))) - base).astype(np.float32), kinds.astype(np.float32))
+
+
+def fit_models(pages: list[tuple[str | None, str | None, int | None]]) -> Models:
+    """Models from (url, html, status_code) of pages in memory; without any page the fixed texts alone make them."""
+    pages = [row for row in pages if row[1]]
+    weights = fit(((url, blocks(page)) for url, page, _ in pages), SEEDS, by_site=True)
+    extractor = Extractor(weights)
+    return models_of(weights, gram_counts((status, shown_of(page, url, extractor).body) for url, page, status in pages), len(pages))
 
 
 def _window_starts(ratios: np.ndarray, width: int, least: float = 0.0) -> np.ndarray:
@@ -119,9 +183,9 @@ def _window_starts(ratios: np.ndarray, width: int, least: float = 0.0) -> np.nda
     return np.flatnonzero(window > least)
 
 
-def residue_share(texts: list[str], ratios: np.ndarray) -> float:
-    """Share of the texts that lies in windows for which an error or filler model is likelier than prose."""
-    grams = gram_buckets(" ".join(" ".join(texts).split()))
+def residue_share(text: str, ratios: np.ndarray) -> float:
+    """Share of the text that lies in windows for which an error or filler model is likelier than prose."""
+    grams = gram_buckets(text)
     n = len(grams)
     if not n:
         return 0.0
@@ -150,60 +214,85 @@ def unfilled_parts(text: str, models: Models) -> list[str]:
     return [data[max(0, a - AROUND) : b + width + AROUND].decode("utf-8", "ignore") for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True)]
 
 
-def residue_score(page: str, url: str | None, models: Models, extractor: Extractor) -> float:
-    """How much of a page is residue, from 0 to 1: 1 if it shows an unfilled placeholder or nothing at all, else its covered share."""
-    found, rest = blocks_and_rest(split_tags(page))
-    outside = [x for x in (*(b.before for b in found), rest) if x and not x.isspace()]
-    shown = without_code("\n".join([b.raw for b in found if b.tag != "pre"]))
-    text = "\n".join([title_of(page), shown, *map(without_code, outside)])
-    if any(map(has_placeholder, unfilled_parts(text, models))):
+def shown_score(shown: Shown, models: Models) -> float:
+    """How much of what a page shows is residue, from 0 to 1: 1 if it is an unfilled placeholder or nothing at all, else its covered share."""
+    if shown.fields is not None and any(map(has_placeholder, unfilled_parts(shown.fields, models))):
         return 1.0
-    body = extractor.body(found, url)
-    if body:
-        # The title may be the article's whose place the text has taken, or part of the message.
-        whole = [plain(found[i].raw) for i in body]
-        texts = [t for t, i in zip(whole, body, strict=True) if found[i].tag not in HEADINGS] or whole
-        share = residue_share(texts, models.ratios)
-        return max(share, residue_share(whole, models.ratios)) if 0 < share < COVERAGE else share
-    # Without main body: all that is shown outside links, and what is shown without scripts.
-    bare = blocks_and_rest(split_tags(without_title(page)))
-    texts = [plain(x) for x in (*(b.before for b in bare[0]), bare[1])]
-    texts += [plain(b.raw) for b in found if not is_linked(b.raw) and b.tag in ("h1", "h2", "pre", "td")]
-    texts += [plain(x) for x in noscript_of(page)]
-    return residue_share(texts, models.ratios) if any(map(WORDS.search, texts)) else 1.0
+    if shown.body is None:
+        return residue_share(shown.bare, models.ratios) if WORDS.search(shown.bare) else 1.0
+    # The title may be the article's whose place the text has taken, or part of the message.
+    whole = " ".join(shown.body.split())
+    text = " ".join(x for x in shown.body.split("\n") if not x.startswith("\t")) if "\t" in shown.body else whole
+    text = " ".join(text.split()) or whole
+    share = residue_share(text, models.ratios)
+    return max(share, residue_share(whole, models.ratios)) if 0 < share < COVERAGE and text is not whole else share
+
+
+def residue_score(page: str, url: str | None, models: Models, extractor: Extractor) -> float:
+    return shown_score(shown_of(page, url, extractor), models)
 
 
 def is_residue(page: str, url: str | None, models: Models, extractor: Extractor) -> bool:
     return residue_score(page, url, models, extractor) >= COVERAGE
 
 
-def fit_models_on(results: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Models:
-    """Fits on at most ``sample_pages`` pages of ``results(result_id, url, html, status_code)``."""
-    rows = smallest_hashes(results, "html <> ''", "result_id", sample_pages, "url", "html", "status_code").toArrow()
-    return fit_models(list(zip(*(rows.column(c).to_pylist() for c in ("url", "html", "status_code")), strict=True)))
+def shown_texts(results: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(result_id, status_code, fields, body, bare) of each page of ``results(result_id, url, html, status_code)`` with html; see :class:`Shown`."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extractor = Extractor(weights)
+        for batch in batches:
+            rows = [shown_of(page, url, extractor) for url, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [pa.array([row[i] for row in rows], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *texts], ["result_id", "status_code", *Shown._fields])
+
+    pages = results.where("html <> ''").select(F.col("result_id").cast("long"), F.col("status_code").cast("int"), "url", "html")
+    return map_arrow(pages, find, "result_id long, status_code int, fields string, body string, bare string")
+
 
+def fit_models_on(results: DataFrame) -> Models:
+    """Fits on all pages of ``results(result_id, url, html, status_code)``."""
+    return fit_and_show(results)[0]
 
-def residue_scores(results: DataFrame, models: Models, least: float = 0.0) -> DataFrame:
-    """(result_id, score) of each page of ``results(result_id, url, html)`` with a score of ``least`` or more."""
+
+def fit_and_show(results: DataFrame) -> tuple[Models, DataFrame]:
+    """Models fitted on all pages of ``results(result_id, url, html, status_code)``, and what the pages show, kept for scoring."""
+    pages, weights = fit_on_all(results)
+    shown = keep(shown_texts(results, weights))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = gram_counts(pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        models, buckets = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(models, pa.int32()), pa.array(buckets, pa.int32()), pa.array(counts[models, buckets], pa.int64())], ["model", "bucket", "n"])
+
+    counted = map_arrow(shown.where("body IS NOT NULL").select("status_code", "body"), count, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((3, BUCKETS), np.int64)
+    counts[counted.column("model").to_numpy(), counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return models_of(weights, counts, pages), shown
+
+
+def residue_scores(shown: DataFrame, models: Models, least: float = 0.0) -> DataFrame:
+    """(result_id, score) of each page of :func:`shown_texts` with a score of ``least`` or more."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extractor = Extractor(models.weights)
         for batch in batches:
-            ids, urls, pages = (batch.column(i).to_pylist() for i in range(3))
-            rows = [(rid, residue_score(page, url, models, extractor)) for rid, url, page in zip(ids, urls, pages, strict=True)]
+            ids, *texts = (batch.column(i).to_pylist() for i in range(4))
+            rows = [(rid, shown_score(Shown(*row), models)) for rid, *row in zip(ids, *texts, strict=True)]
             rows = [r for r in rows if r[1] >= least]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["result_id", "score"])
 
-    return map_arrow(results.where("html <> ''").select("result_id", "url", "html"), find, "result_id long, score double")
+    return map_arrow(shown.select("result_id", *Shown._fields), find, "result_id long, score double")
 
 
 def residue_pages(results: DataFrame, models: Models, quality: DataFrame | None = None) -> DataFrame:
-    """One row (result_id) for each page of ``results(result_id, url, html)`` that is residue; ``quality(result_id, has_noscript_warning, has_loading_indicators)`` may speak for it.
+    """One row (result_id) for each page of ``results(result_id, url, html, status_code)`` that is residue; ``quality(result_id, has_noscript_warning, has_loading_indicators)`` may speak for it."""
+    return residue_shown(shown_texts(results, models.weights), models, quality)
 
-    Only the ids of pages that come near meet the flags.
-    """
+
+def residue_shown(shown: DataFrame, models: Models, quality: DataFrame | None = None) -> DataFrame:
+    """The same of what pages show (:func:`shown_texts`). Only the ids of pages that come near meet the flags."""
     if quality is None:
-        return residue_scores(results, models, COVERAGE).select("result_id")
+        return residue_scores(shown, models, COVERAGE).select("result_id")
     flagged = quality.where("has_noscript_warning OR has_loading_indicators").select("result_id").distinct().withColumn("_flag", F.lit(True))
-    near = residue_scores(results, models, FLAGGED_COVERAGE).join(flagged, "result_id", "left")
+    near = residue_scores(shown, models, FLAGGED_COVERAGE).join(flagged, "result_id", "left")
     return near.where((F.col("score") >= COVERAGE) | F.col("_flag")).select("result_id")
